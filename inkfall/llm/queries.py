@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup, packing, simhash
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .exact_dedup import exact_groups
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
 
-    return exact_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(_table(spark, sf_dir, "documents"), size=3, radius=3)
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
 OP7_SQL = r"""
@@ -28,7 +37,7 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_simhash_near_dedup, op7_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
