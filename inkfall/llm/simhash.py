@@ -119,17 +119,21 @@ def forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
 def _masks(free: int, blocks: int, agree: int, base: int) -> list[int]:
     """Masks of `base` and any `agree` of the blocks into which the free bits are cut."""
     bits = [b for b in range(64) if free >> b & 1]
-    cuts = [sum(1 << b for b in part) for part in np.array_split(bits, blocks)] if bits else []
-    return [base | sum(int(c) for c in some) for some in combinations(cuts, agree)] or [base]
+    cuts = [sum(1 << int(b) for b in part) for part in np.array_split(bits, blocks)] if bits else []
+    return [base | sum(some) for some in combinations(cuts, agree)] or [base]
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _keyed(rows: DataFrame, masks: list[int], parent: Column | None = None) -> DataFrame:
-    keys = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks])
-    return rows.select("fp", "seed", F.explode(keys).alias("k")).select("fp", "seed", "k.mask", "k.key")
+def _keyed(rows: DataFrame, masks: Column) -> DataFrame:
+    """A row for each mask of the array: the shard is the mask and the bits of fp under it."""
+    return rows.select("fp", "seed", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def _lits(masks: list[int]) -> Column:
+    return F.array(*[F.lit(_signed(m)) for m in masks])
 
 
 def _shard_links(radius: int):
@@ -176,9 +180,9 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def links(distinct: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b, seed): links that connect all linked fingerprints. distinct: (fp, seed) without repeats."""
     spark = distinct.sparkSession
-    blocks = radius + 2
-    level = _keyed(distinct, _masks((1 << 64) - 1, blocks, 2, 0))
-    parts, masks = [], _masks((1 << 64) - 1, blocks, 2, 0)
+    every = (1 << 64) - 1
+    masks, parts = _masks(every, radius + 2, 2, 0), []
+    level = _keyed(distinct, _lits(masks))
     for depth in range(3):
         counts = level.groupBy("seed", "mask", "key").count().where(f"count > {shard_rows}")
         hot = written(counts.select(F.col("seed").alias("_s"), F.col("mask").alias("_m"), F.col("key").alias("_k")), "simhash-hot")
@@ -187,12 +191,10 @@ def links(distinct: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) ->
             break
         on = (F.col("seed") == F.col("_s")) & (F.col("mask") == F.col("_m")) & (F.col("key") == F.col("_k"))
         parts.append(level.join(hot, on, "left_anti"))
-        large = level.join(hot, on, "left_semi")
-        finer = {m: _masks(((1 << 64) - 1) & ~m, radius + 1, 1, m) for m in masks}
-        pieces = [_keyed(large.where(F.col("mask") == F.lit(_signed(m))).select("fp", "seed"), finer[m]) for m in masks]
-        level, masks = pieces[0], sorted({x for some in finer.values() for x in some})
-        for piece in pieces[1:]:
-            level = level.union(piece)
+        finer = {m: _masks(every & ~m, radius + 1, 1, m) for m in masks}
+        cut = F.create_map(*[x for m, some in finer.items() for x in (F.lit(_signed(m)), _lits(some))])
+        level = written(_keyed(level.join(hot, on, "left_semi"), F.element_at(cut, F.col("mask"))).distinct(), "simhash-finer")
+        masks = sorted({x for some in finer.values() for x in some})
     found = None
     for part in parts:
         dealt = part.repartition(max(partitions(spark), 1), "seed", "mask", "key").sortWithinPartitions("seed", "mask", "key", "fp")
@@ -232,7 +234,7 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str
 
 
 #: Fingerprints of independent seeds that the pipeline's stage takes, and values of a sketch.
-SEEDS, SKETCH = 4, 128
+SEEDS, SKETCH = 6, 128
 
 
 def _sketched(docs: DataFrame, size: int, seeds: int, id_col: str, text_col: str) -> DataFrame:
@@ -262,7 +264,7 @@ def _similarity(a: Iterator[list[int]], b: Iterator[list[int]]) -> list[float]:
     return out
 
 
-def near_copies(docs: DataFrame, size: int = 5, radius: int = 3, seeds: int = SEEDS, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, radius: int = 4, seeds: int = SEEDS, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) over ids of near copies: a link of any seed whose sketches agree on the similarity.
 
     The similarity is the Jaccard index of the sets of `size`-word shingles, exact where two texts
