@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing, simhash, token_files
+from . import chat, exact_dedup, packing, pii, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("pii_base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list("pii_base"), 256).alias("base_sha256"), pii.span_list("pii_spans").alias("spans"))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -67,7 +74,7 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op6_token_files, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op6_token_files, op7_exact_dedup, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
