@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing, pii, simhash, token_files
+from . import chat, exact_dedup, mixing, packing, pii, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+#: Shares of the sources in thousandths: the largest is held below a third. Others share 2 parts.
+MIX_WEIGHTS = {"src0": 314} | {f"src{i}": 36 for i in range(1, 20)}
+MIX_OTHER, MIX_BLOCK = 2, 16
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.schedule(_table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS, other=MIX_OTHER, block_docs=MIX_BLOCK)
+    return placed.select("doc_id", "source", *[F.col(f"_{c}").alias(c) for c in ("block", "release", "deadline", "slot", "position", "in_mix")])
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("pii_base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
@@ -63,6 +73,40 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP8_SQL = """
+WITH RECURSIVE weights AS (
+  SELECT 'src0' AS name, 314 AS weight UNION ALL SELECT 'src' || i, 36 FROM range(1, 20) AS r(i) UNION ALL SELECT '', 2
+), docs AS (
+  SELECT doc_id, source, coalesce(w.name, '') AS name, md5(CAST(doc_id AS VARCHAR)) AS hash
+  FROM documents LEFT JOIN (SELECT name FROM weights WHERE name <> '') w ON source = w.name
+), used AS (
+  SELECT name, weight, n, row_number() OVER (ORDER BY name = '', name) AS k
+  FROM weights JOIN (SELECT name, count(*) AS n FROM docs GROUP BY name) USING (name)
+), p AS (
+  SELECT list(weight ORDER BY k) AS w, CAST(sum(weight) AS BIGINT) AS total, count(*) AS sources FROM used
+), edf AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS j, CAST(0 AS BIGINT) AS pick FROM p
+  UNION ALL
+  SELECT slot + 1, list_transform(j, lambda x, k: x + CASE WHEN k = best THEN 1 ELSE 0 END), best FROM (
+    SELECT slot, j, list_min(list_transform(j, lambda x, k: CASE WHEN x < w[k] AND x * total // w[k] <= slot + 1
+      THEN (((x + 1) * total + w[k] - 1) // w[k]) * 10000 + k END)) % 10000 AS best
+    FROM edf, p WHERE slot + 1 < total)
+), slots AS (
+  SELECT pick AS k, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS i FROM edf WHERE slot >= 0
+), ranked AS (
+  SELECT docs.*, u.k, u.weight, row_number() OVER (PARTITION BY u.k ORDER BY hash, doc_id) - 1 AS rank FROM docs JOIN used u USING (name)
+), ends AS (
+  SELECT min((n // 16) // weight * total + slot) AS horizon FROM used u, p, slots s
+  WHERE u.k = s.k AND s.i = (n // 16) % weight AND u.name <> ''
+)
+SELECT doc_id, source, rank // 16 AS block, (rank // 16) * total // weight AS release,
+  ((rank // 16 + 1) * total + weight - 1) // weight AS deadline,
+  (rank // 16) // weight * total + s.slot AS slot,
+  ((rank // 16) // weight * total + s.slot) * 16 + rank % 16 AS position,
+  (rank // 16) // weight * total + s.slot < horizon AS in_mix
+FROM ranked r, p, slots s, ends WHERE r.k = s.k AND s.i = (rank // 16) % weight
+"""
+
 OP7_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -74,8 +118,8 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op6_token_files, op7_exact_dedup, op9_pii)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op6_token_files, op7_exact_dedup, op8_mixing, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
