@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, pii, simhash, token_files
+from . import chat, exact_dedup, langid, mixing, packing, pii, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", (langid.remainder("doc_id") == 2).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 #: Shares of the sources in thousandths: the largest is held below a third. Others share 2 parts.
 MIX_WEIGHTS = {"src0": 314} | {f"src{i}": 36 for i in range(1, 20)}
 MIX_OTHER, MIX_BLOCK = 2, 16
@@ -118,7 +124,7 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op6_token_files, op7_exact_dedup, op8_mixing, op9_pii)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op6_token_files, op7_exact_dedup, op8_mixing, op9_pii, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
