@@ -64,7 +64,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("pii_base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    of_kind = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of_kind(kind) for kind in pii.PATTERNS]
     return found.select("doc_id", *counts, F.sha2(pii.span_list("pii_base"), 256).alias("base_sha256"), pii.span_list("pii_spans").alias("spans"))
 
 
