@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from inkfall.functions.text import LINES, SPACE, SPACES, cosine, strip
@@ -63,21 +63,23 @@ def distances(rows: DataFrame, id_col: str = "doc_id", order_col: str = "i", vec
     return rows.withColumn("distance", 1.0 - cosine(F.col(vector_col), F.lead(vector_col).over(after)))
 
 
-def threshold(method: str, amount: float) -> Column:
-    """The aggregate of `distance` above which a document breaks."""
+def threshold(method: str, amount: float, over: WindowSpec) -> Column:
+    """The `distance` above which a document, the rows of a window, breaks."""
+    mean = F.avg("distance").over(over)
+    share = lambda q: F.percentile("distance", F.lit(q)).over(over)
     if method == "percentile":
-        return F.percentile("distance", F.lit(amount / 100))
+        return share(amount / 100)
     if method == "standard_deviation":
-        return F.avg("distance") + amount * F.stddev_pop("distance")
+        return mean + amount * F.stddev_pop("distance").over(over)
     if method == "interquartile":
-        return F.avg("distance") + amount * (F.percentile("distance", F.lit(0.75)) - F.percentile("distance", F.lit(0.25)))
+        return mean + amount * (share(0.75) - share(0.25))
     raise ValueError(f"不支持的断点类型: {method}")
 
 
 def breakpoints(rows: DataFrame, method: str = "percentile", amount: float = 95.0, id_col: str = "doc_id", order_col: str = "i") -> DataFrame:
     """Rows of distances() with the threshold, whether a break follows, and the segment's number."""
     whole, before = Window.partitionBy(id_col), Window.partitionBy(id_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("threshold", threshold(method, amount).over(whole))
+    out = rows.withColumn("threshold", threshold(method, amount, whole))
     out = out.withColumn("break_after", F.coalesce(F.col("distance") > F.col("threshold"), F.lit(False)))
     return out.withColumn("segment", F.coalesce(F.sum(F.col("break_after").cast("int")).over(before), F.lit(0)).cast("int"))
 
@@ -92,7 +94,7 @@ def semantic(df: DataFrame, params: dict | None = None, embed: Embedder | None =
     if embed is None:
         raise RuntimeError("语义分块需要 Embedding：请提供 embed")
     amount, method = float(p["breakpoint_threshold"]), p["breakpoint_type"]
-    threshold(method, amount)
+    threshold(method, amount, Window.partitionBy(id_col))
     docs = df.select(F.col(id_col), F.col(text_col).alias("_whole"))
     sents = windows(sentences(docs, id_col, "_whole"), int(p["buffer_size"]), id_col)
     count = F.count("*").over(Window.partitionBy(id_col))

@@ -117,7 +117,7 @@ def test_semantic_and_dialogue(spark):
     with pytest.raises(RuntimeError):
         semantic.semantic(docs)
     with pytest.raises(ValueError):
-        semantic.threshold("none", 1)
+        semantic.threshold("none", 1, None)
 
 
 BOREHOLE = """<table><thead><tr><th colspan="3">XX矿区ZK01钻孔地层特征</th></tr><tr><th>层位</th><th>深度(m)</th><th>岩性描述</th></tr></thead><tbody>
