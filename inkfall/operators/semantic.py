@@ -30,19 +30,16 @@ def _places(parts: Column, gap: int = 0) -> Column:
 def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, i, sentence, start, end) of sentences without the white space around them, blanks left out.
 
-    The split drops the white space after an end mark; each sentence is found again from the end of
-    the one before it.
+    Places are running sums of the lengths of the parts and of the white space that the split takes.
     """
-    parts = F.filter(F.transform(F.split(text_col, _SENTENCE, -1), strip), lambda s: s != "")
-    none = F.expr("cast(array() as array<struct<sentence: string, start: int, end: int>>)")
-
-    def walk(state: Column, part: Column) -> Column:
-        start = _locate(F.col(text_col), part, state["at"])
-        end = start + F.length(part)
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(part.alias("sentence"), start.alias("start"), end.alias("end"))).alias("out"))
-
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), walk, lambda s: s["out"])
-    return df.select(F.col(id_col), F.posexplode(found).alias("i", "s")).select(id_col, "i", "s.sentence", "s.start", "s.end")
+    parts, gaps = F.split(text_col, _SENTENCE, -1), F.regexp_extract_all(text_col, F.lit(_SENTENCE), F.lit(0))
+    sized = F.zip_with(parts, gaps, lambda p, g: F.struct(p.alias("part"), (F.length(p) + F.coalesce(F.length(g), F.lit(0))).alias("n")))
+    rows = df.select(F.col(id_col), F.posexplode(sized).alias("k", "s"))
+    order = Window.partitionBy(id_col).orderBy("k")
+    before = F.coalesce(F.sum("s.n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lead = F.length("s.part") - F.length(F.regexp_replace("s.part", rf"\A{SPACE}+", ""))
+    found = rows.select(id_col, "k", strip(F.col("s.part")).alias("sentence"), (before + lead).cast("int").alias("start")).where("sentence <> ''")
+    return found.select(id_col, (F.row_number().over(order) - 1).alias("i"), "sentence", "start", (F.col("start") + F.length("sentence")).alias("end"))
 
 
 def _locate(text: Column, part: Column, start: Column) -> Column:
@@ -65,15 +62,15 @@ def distances(rows: DataFrame, id_col: str = "doc_id", order_col: str = "i", vec
 
 def threshold(method: str, amount: float, over: WindowSpec) -> Column:
     """The `distance` above which a document, the rows of a window, breaks."""
-    mean = F.avg("distance").over(over)
+    if method not in ("percentile", "standard_deviation", "interquartile"):
+        raise ValueError(f"不支持的断点类型: {method}")
     share = lambda q: F.percentile("distance", F.lit(q)).over(over)
     if method == "percentile":
         return share(amount / 100)
+    mean = F.avg("distance").over(over)
     if method == "standard_deviation":
         return mean + amount * F.stddev_pop("distance").over(over)
-    if method == "interquartile":
-        return mean + amount * (share(0.75) - share(0.25))
-    raise ValueError(f"不支持的断点类型: {method}")
+    return mean + amount * (share(0.75) - share(0.25))
 
 
 def breakpoints(rows: DataFrame, method: str = "percentile", amount: float = 95.0, id_col: str = "doc_id", order_col: str = "i") -> DataFrame:
