@@ -24,10 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-#: Documents that a task ranks together, about; sources are cut by their hash into such pieces.
-PIECE_ROWS = 4_000
-
-
 def period(weights: list[int]) -> list[list[int]]:
     """For each source, the slots of its blocks in one period, by earliest deadline first."""
     total = sum(weights)
@@ -62,7 +58,8 @@ def schedule(docs: DataFrame, weights: dict[str, int], other: int = 1, block_doc
 
     ends = [slot_of(k, totals[i] // block_docs) for k, i in enumerate(used) if i < len(names)]
     horizon = min(ends, default=0 if not used else slot_of(0, totals[used[0]] // block_docs))
-    digits = max(1, math.ceil(math.log(max(1, sum(totals.values())) / PIECE_ROWS, 16)))
+    # Sources are cut by their hash into about as many pieces as a piece has documents.
+    digits = max(1, math.ceil(math.log(max(1, sum(totals.values())), 16) / 2))
     keyed = keyed.withColumn("_piece", F.substring(F.coalesce("_hash", F.lit("")), 1, digits))
     before = Window.partitionBy("_group").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     bases = keyed.groupBy("_group", "_piece").count().select(F.col("_group").alias("_g"), F.col("_piece").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
