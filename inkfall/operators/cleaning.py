@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,9 +99,17 @@ def normalise_whitespace(text: Column) -> Column:
     return strip(text)
 
 
+def _masked(text: Column, pattern: str, kept: str) -> Column:
+    """Only texts with an at sign are searched for addresses, which takes the longest."""
+    masked = F.regexp_replace(text, pattern, kept)
+    return F.when(F.contains(text, F.lit("@")), masked).otherwise(text) if "@" in pattern else masked
+
+
 def mask_pii(text: Column) -> Column:
     for _, pattern, kept in PII_RULES:
-        text = F.regexp_replace(text, pattern, kept)
+        # An array of one binds the text, which a condition reads more than once.
+        rule = partial(_masked, pattern=pattern, kept=kept)
+        text = F.transform(F.array(text), lambda t: rule(t))[0] if "@" in pattern else rule(text)  # noqa: B023
     return text
 
 
@@ -175,8 +184,9 @@ def _pii(df: DataFrame, config: CleaningConfig, step: Callable) -> DataFrame:
         df = step(df, F.col("_masked.text"), change).drop("_masked")
     for label, pattern, kept in PII_RULES:
         n = F.regexp_count("_text", F.lit(pattern))
+        n = F.when(F.contains("_text", F.lit("@")), n).otherwise(0) if "@" in pattern else n
         detail = F.concat(F.lit("掩码了 "), n, F.lit(f" 个{label}"))
-        df = step(df, F.regexp_replace("_text", pattern, kept), _change("pii", "pii_mask", detail, when=n > 0, pii_type=label, count=n))
+        df = step(df, _masked(F.col("_text"), pattern, kept), _change("pii", "pii_mask", detail, when=n > 0, pii_type=label, count=n))
     return df
 
 

@@ -46,6 +46,9 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
     if overlap > size:
         raise ValueError(f"chunk_overlap {overlap} is larger than chunk_size {size}")
     level = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    if separators[level] == "" and size > 1:  # single characters: every run is a slice
+        step = max(1, size - overlap)
+        return [s for i in range(0, max(len(text) - size, 0) + step, step) if (s := text[i : i + size].strip())]
     out: list[str] = []
     small: list[str] = []
 
