@@ -7,8 +7,9 @@ The stretches of each repeated anchor form a shard of reference passages, for wh
 automaton with occurrence counts is built; the stretches are streamed through it, and a window whose
 matching statistics reach a state that more than one place has led to is repeated. The shards hold
 a part of the corpus that grows with it, so they cannot be broadcast whole; the automata meet their
-documents through the shuffle, by anchor. An anchor with more than HOT_ROWS stretches has its
-windows counted by a 128-bit hash instead, which needs no shard in one place.
+documents through the shuffle, by anchor. An anchor with more than HOT_ROWS stretches has the
+windows of its different stretches counted by a 128-bit hash instead, which needs no shard in one
+place.
 
 Defined results: words are the runs between white space, unchanged; a null text has none. Windows
 are judged on the input: both of two equal windows go, within one document too. Rows that repeat
@@ -180,6 +181,38 @@ def _spans_of_shards(size: int, kind: pa.DataType):
     return run
 
 
+def _hot_spans(hot: DataFrame, size: int) -> DataFrame:
+    """(_kind, low, high): first and last repeated window of each different stretch, by hashes.
+
+    Equal stretches are counted first, and repeat whole; only single ones look their windows up. A
+    stretch has no more windows than a window has words, so those between the two are covered too.
+    """
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for low in range(0, batch.num_rows, 1000):
+                at, place, one, two = [], [], [], []
+                for i in range(low, min(low + 1000, batch.num_rows)):
+                    words = texts[i].split(b" ")
+                    for k in range(len(words) - size + 1):
+                        h = xxhash.xxh3_128_intdigest(b" ".join(words[k : k + size]))
+                        at.append(i)
+                        place.append(k)
+                        one.append((h >> 64) - (1 << 63))
+                        two.append((h & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["kind", "times", "place", "one", "two"])
+
+    kinds = written(hot.groupBy("kind").agg(F.count("*").alias("times"), F.first("passage").alias("passage")), "substring-kinds")
+    each = written(kinds.select("kind", "times", "passage").mapInArrow(windows, "kind string, times long, place int, one long, two long"), "substring-windows")
+    twice = each.groupBy("one", "two").agg(F.sum("times").alias("n")).where("n > 1").select(F.col("one").alias("_one"), F.col("two").alias("_two"))
+    met = each.where("times = 1").join(written(twice, "substring-twice"), (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")))
+    whole = each.where("times > 1").select("kind", "place")
+    spans = met.select("kind", "place").union(whole).groupBy(F.col("kind").alias("_kind"))
+    return written(spans.agg(F.min("place").alias("low"), F.max("place").alias("high")), "substring-hot")
+
+
 def repeated_spans(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc, key, spans): word spans to remove, by id and hash of the text; spans may overlap."""
     spark = docs.sparkSession
@@ -223,26 +256,9 @@ def repeated_spans(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
     shards = shards.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     spans = shards.mapInArrow(_spans_of_shards(size, arrow), f"doc {kind}, key long, start int, end int")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(3).cast(pa.binary()).to_pylist()
-            for low in range(0, batch.num_rows, 1000):
-                at, start, one, two = [], [], [], []
-                for i in range(low, min(low + 1000, batch.num_rows)):
-                    words, first = texts[i].split(b" "), batch.column(2)[i].as_py()
-                    for k in range(len(words) - size + 1):
-                        h = xxhash.xxh3_128_intdigest(b" ".join(words[k : k + size]))
-                        at.append(i)
-                        start.append(first + k)
-                        one.append((h >> 64) - (1 << 63))
-                        two.append((h & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc", "key", "start", "one", "two"])
-
-    hot = parts.where(F.col("n") > hot_rows).select("doc", "key", "first", "passage").mapInArrow(windows, f"doc {kind}, key long, start int, one long, two long")
-    hot = written(hot, "substring-windows")
-    twice = written(hot.groupBy("one", "two").count().where("count > 1").select(F.col("one").alias("_one"), F.col("two").alias("_two")), "substring-twice")
-    more = hot.join(twice, (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))).select("doc", "key", "start", (F.col("start") + size).alias("end"))
+    hot = parts.where(F.col("n") > hot_rows).select("doc", "key", "first", "passage", F.md5("passage").alias("kind"))
+    more = hot.join(_hot_spans(hot, size), F.col("kind") == F.col("_kind"))
+    more = more.select("doc", "key", (F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + size).alias("end"))
     return spans.union(more).groupBy("doc", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
