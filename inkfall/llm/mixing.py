@@ -10,7 +10,10 @@ from the weights alone, and every document finds its place by its rank within it
 Defined results: sources without a weight, null among them, share the weight `other`, as one
 source. Sources without documents take no part and the other weights keep their proportions. The
 mixture ends where a named source first cannot fill a block; documents beyond it keep their place
-but are not in the mixture. Equal ids are ranked in any order. Other columns are carried along.
+but are not in the mixture. mix(whole=True) goes on past it: where the next block in turn is one
+that its source does not have, partial blocks counting as blocks, the other sources start a new
+schedule with what they have left, so that every document with a weight is in the mixture. Equal
+ids are ranked in any order. Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -42,8 +45,26 @@ def period(weights: list[int]) -> list[list[int]]:
     return slots
 
 
-def schedule(docs: DataFrame, weights: dict[str, int], other: int = 1, block_docs: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs with _block, _release, _deadline, _slot, _position and _in_mix."""
+def rounds(parts: list[int], blocks: list[int]) -> list[list[dict]]:
+    """For each source, the schedules in which it takes part until all its blocks are placed.
+
+    A schedule starts at slot `base` with the source's block `first` and ends where a source has
+    no block for its turn; there is one for each source at most.
+    """
+    out: list[list[dict]] = [[] for _ in parts]
+    done, base = [0] * len(parts), 0
+    while live := [k for k in range(len(parts)) if done[k] < blocks[k]]:
+        total, slots = sum(parts[k] for k in live), period([parts[k] for k in live])
+        length = min((blocks[k] - done[k]) // parts[k] * total + some[(blocks[k] - done[k]) % parts[k]] for k, some in zip(live, slots, strict=True))
+        for k, some in zip(live, slots, strict=True):
+            out[k].append({"first": done[k], "base": base, "total": total, "weight": parts[k], "slots": some})
+            done[k] += length // total * parts[k] + sum(s < length % total for s in some)
+        base += length
+    return out
+
+
+def schedule(docs: DataFrame, weights: dict[str, int], other: int = 1, block_docs: int = 16, id_col: str = "doc_id", source_col: str = "source", whole: bool = False) -> DataFrame:
+    """docs with _block, _release, _deadline, _slot, _position and _in_mix; of the whole, _position and _in_mix."""
     names = sorted(weights)
     group = F.coalesce(F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]), F.col(source_col)), F.lit(len(names)))
     keyed = docs.withColumn("_group", group).withColumn("_hash", F.md5(F.col(id_col).cast("string")))
@@ -58,6 +79,7 @@ def schedule(docs: DataFrame, weights: dict[str, int], other: int = 1, block_doc
 
     ends = [slot_of(k, totals[i] // block_docs) for k, i in enumerate(used) if i < len(names)]
     horizon = min(ends, default=0 if not used else slot_of(0, totals[used[0]] // block_docs))
+    every = rounds(parts, [-(-totals[i] // block_docs) for i in used]) if whole else []
     # Sources are cut by their hash into about as many pieces as a piece has documents.
     digits = max(1, math.ceil(math.log(max(1, sum(totals.values())), 16) / 2))
     keyed = keyed.withColumn("_piece", F.substring(F.coalesce("_hash", F.lit("")), 1, digits))
@@ -65,6 +87,12 @@ def schedule(docs: DataFrame, weights: dict[str, int], other: int = 1, block_doc
     bases = keyed.groupBy("_group", "_piece").count().select(F.col("_group").alias("_g"), F.col("_piece").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     within = F.row_number().over(Window.partitionBy("_group", "_piece").orderBy("_hash", id_col)) - 1
     ranked = keyed.withColumn("_within", within).join(bases, (F.col("_group") == F.col("_g")) & (F.col("_piece") == F.col("_p")))
+    if whole:
+        of_group = F.from_json(F.lit(json.dumps({str(i): every[k] for k, i in enumerate(used)})), "map<string, array<struct<first: long, base: long, total: long, weight: long, slots: array<long>>>>")
+        ranked = ranked.withColumn("_all", F.element_at(of_group, F.col("_group").cast("string"))).withColumn("_rank", F.col("_base") + F.col("_within")).withColumn("_block", F.expr(f"_rank div {block_docs}"))
+        ranked = ranked.withColumn("_own", F.element_at(F.filter("_all", lambda r: r["first"] <= F.col("_block")), -1)).withColumn("_i", F.expr("_block - _own.first"))
+        slot = "(_own.base + _i div _own.weight * _own.total + element_at(_own.slots, cast(_i % _own.weight as int) + 1))"
+        return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], F.expr(f"{slot} * {block_docs} + _rank % {block_docs}").alias("_position"), F.col("_own").isNotNull().alias("_in_mix"))
     of_group = F.from_json(F.lit(json.dumps({str(i): {"weight": parts[k], "slots": slots[k]} for k, i in enumerate(used)})), "map<string, struct<weight: long, slots: array<long>>>")
     rank = F.col("_base") + F.col("_within")
     ranked = ranked.withColumn("_own", F.element_at(of_group, F.col("_group").cast("string"))).withColumn("_rank", rank).withColumn("_block", F.expr(f"_rank div {block_docs}"))

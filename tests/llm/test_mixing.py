@@ -54,3 +54,30 @@ def test_empty_table_and_no_weights(spark):
     assert mixing.mix(docs, {"a": 1}).count() == 0
     some = spark.createDataFrame([(i, "x") for i in range(20)], "doc_id long, source string")
     assert mixing.schedule(some, {"a": 1}, block_docs=4).where("_in_mix").count() == 20
+
+
+def test_the_whole_goes_on_past_short_sources(spark):
+    random.seed(3)
+    sizes = {"a": 700, "b": 150, "c": 3, "new": 50, None: 4}
+    sources = [s for s, n in sizes.items() for _ in range(n)]
+    random.shuffle(sources)
+    docs = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string")
+    weights = {"a": 5, "b": 3, "c": 2, "absent": 9}
+    mixed = mixing.mix(docs, weights, other=1, block_docs=4, whole=True)
+    assert mixed.columns == docs.columns and sorted(r.doc_id for r in mixed.collect()) == list(range(len(sources)))
+    placed = mixing.schedule(docs, weights, other=1, block_docs=4, whole=True).orderBy("_position").collect()
+    assert all(r._in_mix for r in placed) and len({r._position for r in placed}) == len(placed)
+    group = lambda s: s if s in weights else None
+    parts, left, want = {"a": 5, "b": 3, "c": 2, None: 1}, {"a": 175, "b": 38, "c": 1, None: 14}, []
+    while any(left.values()):
+        live, done, t = [g for g in parts if left[g]], dict.fromkeys(parts, 0), 0
+        total = sum(parts[g] for g in live)
+        while True:  # earliest deadline first, until the next in turn has no more blocks
+            g = min((g for g in live if done[g] * total // parts[g] <= t), key=lambda g: (-(-(done[g] + 1) * total // parts[g]), live.index(g)))
+            if not left[g]:
+                break
+            want.append(g)
+            done[g], left[g], t = done[g] + 1, left[g] - 1, t + 1
+            assert all(abs(done[x] - t * parts[x] / total) < 1 for x in live)
+    blocks = sorted({(r._position // 4, group(r.source)) for r in placed}, key=lambda b: b[0])
+    assert blocks == list(enumerate(want))
