@@ -14,6 +14,7 @@ fingerprints take part, and a tree gives the edges of a spanning forest, never a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import partitions, spare_name, text_of, written
 from .components import components
@@ -235,23 +237,71 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str
 
 #: Fingerprints of independent seeds that the pipeline's stage takes, and values of a sketch.
 SEEDS, SKETCH = 6, 128
+#: A pair goes to the exact test unless its sketches fall short of the similarity by more than this,
+#: which a pair that has the similarity does less than once in 10^12 times.
+SLACK = 0.3
+#: Documents that tell which shingles are common, and how many of these are told apart.
+COMMON_DOCS, COMMON = 10_000, 50_000
 
 
-def _sketched(docs: DataFrame, size: int, seeds: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, fps, sketch) of each row: its fingerprints and its least shingle hashes."""
+def _sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles): all distinct shingle hashes of each row, sorted, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sketches = [], []
+            sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(run, f"id {kind}, shingles binary")
+
+
+def _common(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that some documents share, sorted, and in how many of these documents each is.
+
+    They only order the shingles of a text, rare ones first; any such order finds the same pairs.
+    """
+    every = max(1, docs.count() // COMMON_DOCS)
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(text_of(text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, size)).view(np.int64))], names=["h"])
+
+    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON)
+    found = sorted((h & 0xFFFFFFFFFFFFFFFF, n) for h, n in counts.collect())
+    return np.array([h for h, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)
+
+
+def _prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles, rare before common, one of which any text of that similarity has among its own."""
+    n = len(shingles)
+    if n and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        shingles = shingles[np.lexsort((shingles, np.where(common[0][at] == shingles, common[1][at], 0)))]
+    return shingles[: n - math.ceil(similarity * n - 1e-6) + 1]
+
+
+def _sketched(docs: DataFrame, size: int, seeds: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, fps, sketch, prefix) of each row: distinct shingles, fingerprints, least hashes, prefix."""
+    common = _common(docs, size, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ns, fps, sketches, prefixes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, size)
                 fps.append([_signed(fingerprint(reseeded(hashes, k))) for k in range(seeds)])
-                least = np.unique(reseeded(hashes, 99))[:SKETCH]
-                sketches.append(least.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "fps", "sketch"])
+                distinct = np.unique(hashes)
+                ns.append(len(distinct))
+                sketches.append(np.sort(reseeded(distinct, 99))[:SKETCH].view(np.int64))
+                prefixes.append(_prefix(distinct, similarity, common).view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, sketches, prefixes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), *lists], names=["id", "n", "fps", "sketch", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(run, f"id {kind}, fps array<long>, sketch array<long>")
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(run, f"id {kind}, n int, fps array<long>, sketch array<long>, prefix array<long>")
 
 
 def _similarity(a: Iterator[list[int]], b: Iterator[list[int]]) -> list[float]:
@@ -264,14 +314,94 @@ def _similarity(a: Iterator[list[int]], b: Iterator[list[int]]) -> list[float]:
     return out
 
 
+def _jaccard(a: bytes, b: bytes) -> float:
+    one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    union = len(one) + len(two) - both
+    return both / union if union else 1.0
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (id, other) whose full shingle sets have the similarity; sketches rule out most others."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def kept(score, least: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = score(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+                yield batch.select([0, 1]).filter(pa.array([x >= least for x in found], pa.bool_()))
+
+        return run
+
+    def met(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        one = table.select(F.col("id").alias("_i"), F.col(column).alias("_a"))
+        two = table.select(F.col("id").alias("_j"), F.col(column).alias("_b"))
+        return pairs.join(one, F.col("id") == F.col("_i")).join(two, F.col("other") == F.col("_j")).select("id", "other", "_a", "_b")
+
+    likely = written(met(pairs, rows, "sketch").mapInArrow(kept(_similarity, similarity - SLACK), f"id {kind}, other {kind}"), "near-likely")
+    ids = likely.select(F.col("id").alias("_id")).union(likely.select("other")).distinct()
+    sets = written(_sets(docs.join(ids, F.col(id_col) == F.col("_id"), "left_semi"), size, id_col, text_col), "near-sets")
+    exact = lambda a, b: [_jaccard(x, y) for x, y in zip(a, b, strict=True)]
+    return written(met(likely, sets, "shingles").mapInArrow(kept(exact, similarity), f"id {kind}, other {kind}"), "near-confirmed")
+
+
+def _prefix_pairs(similarity: float, kind: pa.DataType):
+    """Pairs of rows (hash, pos, n, part, id), sorted, with a hash in common and not in one part.
+
+    Only pairs that their sizes or the places of the hash rule out are left out.
+    """
+
+    def out(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids[i], kind), pa.array(ids[j], kind)], names=["id", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in _and_none(batches):
+            if batch is not None:
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+            if rest is None or not len(rest[0]):
+                continue
+            end = np.searchsorted(rest[0], rest[0][-1]) if batch is not None else len(rest[0])
+            key, pos, n, part, ids = (x[:end] for x in rest)
+            rest = [x[end:] for x in rest]  # the last bucket may go on in the next batch
+            if not end:
+                continue
+            new_key = np.concatenate([[True], key[1:] != key[:-1]])
+            new_part = new_key | np.concatenate([[True], part[1:] != part[:-1]])
+            stop = np.append(np.flatnonzero(new_key), end)[np.cumsum(new_key)]
+            later = np.append(np.flatnonzero(new_part), end)[np.cumsum(new_part)]
+            i = np.flatnonzero(later < stop)
+            j = later[i]
+            some: list[tuple[np.ndarray, np.ndarray]] = []
+            while len(i):
+                before = np.minimum(pos[i], pos[j])
+                after = np.minimum(n[i] - pos[i], n[j] - pos[j])
+                need = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
+                able = before + after >= need
+                some.append((i[able], j[able]))
+                if sum(len(x) for x, _ in some) > 100_000:
+                    yield out(ids, *map(np.concatenate, zip(*some, strict=True)))
+                    some = []
+                i, j = i[j + 1 < stop[i]], j[j + 1 < stop[i]] + 1
+            if some:
+                yield out(ids, *map(np.concatenate, zip(*some, strict=True)))
+
+    return run
+
+
 def near_copies(docs: DataFrame, size: int = 5, radius: int = 4, seeds: int = SEEDS, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, root) over ids of near copies: a link of any seed whose sketches agree on the similarity.
+    """(node, root) over ids of near copies: components of the pairs with the similarity, all of them.
 
-    The similarity is the Jaccard index of the sets of `size`-word shingles, exact where two texts
-    have up to 128 of them together and estimated from their 128 least hashes beyond. Equal
-    fingerprints are linked to one of their rows. Rows with a null id take no part.
+    The similarity is the Jaccard index of the sets of `size`-word shingles; texts without words are
+    equal. Links of fingerprints of any seed, confirmed on the full sets, join most near copies into
+    parts. Two texts of that similarity share a shingle of their prefixes, so a second step takes
+    all pairs that do and are not in one part yet, and confirms them in the same way: none is missed
+    for its fingerprints or for a link that the forest left out. Rows with a null id take no part.
     """
-    rows = written(_sketched(docs.where(F.col(id_col).isNotNull()), size, seeds, id_col, text_col), "near-rows")
+    docs = docs.where(F.col(id_col).isNotNull())
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = written(_sketched(docs, size, seeds, similarity, id_col, text_col), "near-rows")
     marks = rows.select("id", F.posexplode("fps").alias("seed", "fp"))
     classes = written(marks.groupBy("seed", "fp").agg(F.min("id").alias("least")), "near-classes")
     edges = written(links(classes.select("fp", "seed"), radius), "near-links")
@@ -280,17 +410,13 @@ def near_copies(docs: DataFrame, size: int = 5, radius: int = 4, seeds: int = SE
     left = edges.join(first.withColumnRenamed("other", "id"), (F.col("seed") == F.col("_s")) & (F.col("a") == F.col("_f"))).select("seed", "b", "id")
     cross = left.join(first, (F.col("seed") == F.col("_s")) & (F.col("b") == F.col("_f"))).where("id != other").select("id", "other")
     pairs = written(same.union(cross).distinct(), "near-pairs")
-    one = rows.select(F.col("id").alias("_i"), F.col("sketch").alias("sketch_a"))
-    two = rows.select(F.col("id").alias("_j"), F.col("sketch").alias("sketch_b"))
-    met = pairs.join(one, F.col("id") == F.col("_i")).join(two, F.col("other") == F.col("_j")).select("id", "other", "sketch_a", "sketch_b")
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = _similarity(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield batch.select([0, 1]).filter(pa.array([x >= similarity for x in score], pa.bool_()))
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return components(met.mapInArrow(agree, f"id {kind}, other {kind}"), "id", "other")
+    near = _confirmed(pairs, rows, docs, size, similarity, id_col, text_col)
+    parts = written(components(near, "id", "other").distinct(), "near-parts")
+    held = rows.join(parts, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("part"), F.posexplode("prefix").alias("pos", "h"))
+    dealt = held.select("h", "pos", "n", "part", "id").repartition(max(partitions(docs.sparkSession), 1), "h").sortWithinPartitions("h", "part", "id")
+    met = dealt.mapInArrow(_prefix_pairs(similarity, to_arrow_type(docs.schema[id_col].dataType)), f"id {kind}, other {kind}").distinct()
+    more = _confirmed(written(met, "near-met"), rows, docs, size, similarity, id_col, text_col)
+    return components(near.union(more), "id", "other")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -103,3 +103,40 @@ def test_near_copies_are_dropped(spark):
     assert all(1000 + i in kept for i in range(60)) and None in kept
     assert all(3 * g in kept for g in range(40))
     assert sum(i is not None and i < 1000 for i in kept) <= 44
+
+
+def _shingles(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def _least_of_near(rows, similarity=0.8):
+    """The least id of each row's component, all pairs compared."""
+    sets, root = {i: _shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    return root
+
+
+def _edited(words, k):
+    out = list(words)
+    for at in random.sample(range(len(out)), k):
+        out[at] = f"edit{random.random()}"
+    return out
+
+
+def test_pairs_of_little_more_than_the_similarity(spark):
+    random.seed(11)
+    words = [f"w{i}" for i in range(3000)]
+    common, rows = random.choices(words, k=30), []
+    for g in range(60):
+        base = random.choices(words, k=random.choice([40, 120, 400])) + common * (g % 2)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(_edited(base, max(1, len(base) // random.choice([44, 50, 60, 90])))))]
+    root = _least_of_near(rows)
+    scores = [len(a & b) / len(a | b) for g in range(60) for a, b in [(_shingles(rows[2 * g][1]), _shingles(rows[2 * g + 1][1]))]]
+    assert sum(0.8 <= x < 0.9 for x in scores) >= 15 and sum(0.7 < x < 0.8 for x in scores) >= 5
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(root.values())
