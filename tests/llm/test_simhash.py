@@ -140,3 +140,14 @@ def test_pairs_of_little_more_than_the_similarity(spark):
     assert sum(0.8 <= x < 0.9 for x in scores) >= 15 and sum(0.7 < x < 0.8 for x in scores) >= 5
     kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(root.values())
+
+
+def test_no_pair_is_lost_for_its_links(spark):
+    random.seed(12)
+    words, rows = [f"w{i}" for i in range(500)], []
+    for _ in range(15):
+        base = random.choices(words, k=60)
+        rows += [(len(rows) + k, " ".join(_edited(base, k % 3))) for k in range(4)]
+    root = _least_of_near(rows)
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), radius=0, seeds=1)
+    assert {i: r for i, r in found.collect() if i != r} == {i: r for i, r in root.items() if i != r} != {}
