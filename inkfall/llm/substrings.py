@@ -7,14 +7,18 @@ The stretches of each repeated anchor form a shard of reference passages, for wh
 automaton with occurrence counts is built; the stretches are streamed through it, and a window whose
 matching statistics reach a state that more than one place has led to is repeated. The shards hold
 a part of the corpus that grows with it, so they cannot be broadcast whole; the automata meet their
-documents through the shuffle, by anchor. An anchor with more than HOT_ROWS stretches has the
-windows of its different stretches counted by a 128-bit hash instead, which needs no shard in one
-place.
+documents through the shuffle, by anchor.
+
+Equal texts take part once, with their number: all their windows are repeated. An anchor with more
+than `hot_rows` stretches is cut by a second anchor, of another order of the hashes, so that its
+shards stay small enough for an automaton. A pair of anchors that is still too common, as in a large
+family of near copies, is cut into single windows; two of these are repeated only if they are equal,
+so they are counted by their words and need no automaton and no one place.
 
 Defined results: words are the runs between white space, unchanged; a null text has none. Windows
 are judged on the input: both of two equal windows go, within one document too. Rows that repeat
 are places of their own. Null ids are ids like any other. Columns other than the two named are not
-read.
+read. Texts are told apart by 128 bits of their SHA-256, windows by their words.
 """
 
 from __future__ import annotations
@@ -27,8 +31,9 @@ import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import partitions, text_of, written
+from .common import BROADCAST_BYTES, partitions, text_of, written
 
 ANCHOR = 8
 HOT_ROWS = 5_000
@@ -46,13 +51,20 @@ def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def stretches(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Anchor hash and first window of each stretch of windows with one anchor; number of windows."""
+def stretches(words: list[bytes], size: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Anchor hash and first window of each stretch of windows with one anchor; number of windows.
+
+    Each level has an order of the hashes of its own.
+    """
     n = len(words) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
     anchor = min(ANCHOR, size)
     grams = _rolled(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), anchor)
+    if level:
+        with np.errstate(over="ignore"):
+            grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * level)
+            grams ^= grams >> np.uint64(32)
     width = size - anchor + 1
     place = np.concatenate([first + np.arange(min(_STEP, n - first)) + sliding_window_view(grams[first : first + min(_STEP, n - first) + width - 1], width).argmin(axis=1) for first in range(0, n, _STEP)])
     starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -124,18 +136,21 @@ class SuffixAutomaton:
         return out
 
 
-def shard_spans(passages: list[bytes], size: int) -> list[list[tuple[int, int]]]:
-    """For each passage the spans of its words that lie in windows repeated among the passages."""
-    times: dict[bytes, int] = {}
-    for p in passages:
-        times[p] = times.get(p, 0) + 1
+def shard_spans(passages: list[bytes], size: int, times: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """For each passage the spans of its words that lie in windows repeated among the passages.
+
+    times: in how many places each passage stands, one by default.
+    """
+    count: dict[bytes, int] = {}
+    for p, n in zip(passages, times or [1] * len(passages), strict=True):
+        count[p] = count.get(p, 0) + n
     words: dict[bytes, int] = {}
-    coded = {p: [words.setdefault(w, len(words)) for w in p.split(b" ")] for p in times}
-    if len(times) == 1:
-        whole = [(0, len(coded[passages[0]]))] if len(passages) > 1 else []
+    coded = {p: [words.setdefault(w, len(words)) for w in p.split(b" ")] for p in count}
+    if len(count) == 1:
+        whole = [(0, len(coded[passages[0]]))] if count[passages[0]] > 1 else []
         return [whole] * len(passages)
     automaton = SuffixAutomaton()
-    for p, n in times.items():
+    for p, n in count.items():
         automaton.add(coded[p], n)
     automaton.close()
     spans = {}
@@ -150,78 +165,106 @@ def shard_spans(passages: list[bytes], size: int) -> list[list[tuple[int, int]]]
     return [spans[p] for p in passages]
 
 
-def _spans_of_shards(size: int, kind: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settled(rows: list[tuple]) -> list[tuple]:
-            out = []
-            for (_, doc, key, first, _), spans in zip(rows, shard_spans([r[4] for r in rows], size), strict=True):
-                out += [(doc, key, first + a, first + b) for a, b in spans]
-            return out
+#: Stretches, with the number and the times of their text and the place of their first word.
+_PARTS = "anchor long, no long, first int, times long, passage string"
+_SPANS = "no long, start int, end int"
+
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            doc, key, start, end = zip(*rows, strict=True) if rows else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(doc, kind), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc", "key", "start", "end"])
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    no, start, end = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["no", "start", "end"])
 
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    columns = [batch.column(k).to_pylist() for k in range(4)] + [batch.column(4).cast(pa.binary()).to_pylist()]
+    return zip(*columns, strict=True)
+
+
+def _spans_of_shards(size: int):
+    def settled(rows: list[tuple]) -> list[tuple]:
+        spans = shard_spans([r[4] for r in rows], size, [r[3] for r in rows])
+        return [(no, first + a, first + b) for (_, no, first, times, _), some in zip(rows, spans, strict=True) if times == 1 for a, b in some]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[tuple] = []
         out: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(4)] + [batch.column(4).cast(pa.binary()).to_pylist()]
-            for row in zip(*columns, strict=True):
+            for row in _rows(batch):
                 if shard and row[0] != shard[0][0]:
                     out += settled(shard)
                     shard = []
                     if len(out) > 20_000:
-                        yield batch_of(out)
+                        yield _batch_of(out)
                         out = []
                 shard.append(row)
         if shard:
             out += settled(shard)
-        yield batch_of(out)
+        yield _batch_of(out)
 
     return run
 
 
-def _hot_spans(hot: DataFrame, size: int) -> DataFrame:
-    """(_kind, low, high): first and last repeated window of each different stretch, by hashes.
-
-    Equal stretches are counted first, and repeat whole; only single ones look their windows up. A
-    stretch has no more windows than a window has words, so those between the two are covered too.
-    """
+def _cut_again(size: int, single: bool):
+    """The parts by a second anchor, or as single windows."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for low in range(0, batch.num_rows, 1000):
-                at, place, one, two = [], [], [], []
-                for i in range(low, min(low + 1000, batch.num_rows)):
-                    words = texts[i].split(b" ")
-                    for k in range(len(words) - size + 1):
-                        h = xxhash.xxh3_128_intdigest(b" ".join(words[k : k + size]))
-                        at.append(i)
-                        place.append(k)
-                        one.append((h >> 64) - (1 << 63))
-                        two.append((h & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["kind", "times", "place", "one", "two"])
-
-    kinds = written(hot.groupBy("kind").agg(F.count("*").alias("times"), F.first("passage").alias("passage")), "substring-kinds")
-    each = written(kinds.select("kind", "times", "passage").mapInArrow(windows, "kind string, times long, place int, one long, two long"), "substring-windows")
-    twice = each.groupBy("one", "two").agg(F.sum("times").alias("n")).where("n > 1").select(F.col("one").alias("_one"), F.col("two").alias("_two"))
-    met = each.where("times = 1").join(written(twice, "substring-twice"), (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")))
-    whole = each.where("times > 1").select("kind", "place")
-    spans = met.select("kind", "place").union(whole).groupBy(F.col("kind").alias("_kind"))
-    return written(spans.agg(F.min("place").alias("low"), F.max("place").alias("high")), "substring-hot")
+            at, anchor, first, parts = [], [], [], []
+            for i, (old, _, place, _, passage) in enumerate(_rows(batch)):
+                words = passage.split(b" ")
+                if single:
+                    starts, n = np.arange(len(words) - size + 1), len(words) - size + 1
+                    hashes = np.full(n, old)
+                else:
+                    hashes, starts, n = stretches(words, size, 1)
+                    with np.errstate(over="ignore"):
+                        hashes = hashes.view(np.int64) * np.int64(31) + np.int64(old)
+                for h, low, high in zip(hashes.tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+                    at.append(i)
+                    anchor.append(h)
+                    first.append(place + low)
+                    parts.append(b" ".join(words[low : high + size - 1]))
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), batch.column(1).take(take), pa.array(first, pa.int32()), batch.column(3).take(take), pa.array(parts, pa.binary()).cast(pa.string())], names=["anchor", "no", "first", "times", "passage"])
+
+    return run
+
+
+def _those(rows: DataFrame, column: str, few: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join with a written table, which is sent to every executor only while it is small."""
+    other = few.select(F.col(few.columns[0]).alias("_those"))
+    small = other.agg(F.sum(F.octet_length(F.col("_those").cast("string")) + 16)).first()[0]
+    return rows.join(F.broadcast(other) if (small or 0) <= BROADCAST_BYTES else other, F.col(column) == F.col("_those"), how)
+
+
+def _part_spans(parts: DataFrame, hot: DataFrame, size: int, hot_rows: int) -> DataFrame:
+    """(no, start, end): repeated spans of all parts; hot has the anchors of more than hot_rows of them."""
+    spark = parts.sparkSession
+
+    def of_shards(some: DataFrame) -> DataFrame:
+        return some.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_spans_of_shards(size), _SPANS)
+
+    if hot.isEmpty():
+        return of_shards(parts)
+    again = written(_those(parts, "anchor", hot, "left_semi").mapInArrow(_cut_again(size, False), _PARTS), "substring-again")
+    still = written(again.groupBy("anchor").count().where(f"count > {hot_rows}").select("anchor"), "substring-still")
+    found = of_shards(_those(parts, "anchor", hot, "left_anti").union(_those(again, "anchor", still, "left_anti")))
+    if still.isEmpty():
+        return found
+    single = written(_those(again, "anchor", still, "left_semi").mapInArrow(_cut_again(size, True), _PARTS), "substring-single")
+    twice = written(single.groupBy("passage").agg(F.sum("times").alias("n")).where("n > 1").select("passage"), "substring-twice")
+    met = _those(single.where("times = 1"), "passage", twice, "left_semi")
+    return found.union(met.select("no", F.col("first").alias("start"), (F.col("first") + size).alias("end")))
 
 
 def repeated_spans(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc, key, spans): word spans to remove, by id and hash of the text; spans may overlap."""
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
+    texts = _texts(docs, id_col, text_col)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, hashes, starts, n = [], [], [], []
+            at, hashes, starts = [], [], []
             for i, data in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 h, first, windows = stretches(data.split(), size)
                 if windows:
@@ -231,13 +274,14 @@ def repeated_spans(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(hashes, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32()))], names=["doc", "key", "hashes", "starts"])
 
-    found = written(texts.mapInArrow(anchors, f"doc {kind}, key long, hashes array<long>, starts array<int>"), "substring-anchors")
-    counts = found.select(F.explode("hashes").alias("_anchor")).groupBy("_anchor").agg(F.count("*").alias("n")).where("n > 1")
-    counts = written(counts, "substring-counts")
-    each = found.select("doc", "key", "starts", F.posexplode("hashes").alias("i", "anchor"))
-    each = each.select("doc", "key", "anchor", F.element_at("starts", F.col("i") + 1).alias("first"), F.element_at("starts", F.col("i") + 2).alias("next"))
-    shared = each.join(counts, F.col("anchor") == F.col("_anchor")).groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key"))
-    shared = written(shared.agg(F.collect_set(F.struct("first", "next", "anchor", "n")).alias("shared")), "substring-shared")
+    found = written(texts.mapInArrow(anchors, f"doc {kind}, key binary, hashes array<long>, starts array<int>"), "substring-anchors")
+    once = found.groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("times"), F.first(F.struct("hashes", "starts")).alias("of"))
+    once = written(once.select("key", "rep", "times", "of.*").withColumn("no", F.monotonically_increasing_id()), "substring-texts")
+    each = once.select("no", "starts", F.posexplode("hashes").alias("i", "anchor"))
+    each = each.select("no", "anchor", F.element_at("starts", F.col("i") + 1).alias("first"), F.element_at("starts", F.col("i") + 2).alias("next"))
+    counts = written(once.select(F.explode("hashes").alias("_anchor")).groupBy("_anchor").count().where("count > 1"), "substring-counts")
+    shared = each.join(counts.select("_anchor"), F.col("anchor") == F.col("_anchor")).groupBy(F.col("no").alias("_no"))
+    shared = written(shared.agg(F.collect_set(F.struct("first", "next", "anchor")).alias("shared")), "substring-shared")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,19 +291,25 @@ def repeated_spans(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
                 rows = batch.column(3)[at].as_py()
                 parts = [b" ".join(words[r["first"] : r["next"] + size - 1]) for r in rows]
                 here = pa.array([at] * len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r["anchor"] for r in rows], pa.int64()), batch.column(0).take(here), batch.column(1).take(here), pa.array([r["first"] for r in rows], pa.int32()), pa.array(parts, pa.binary()).cast(pa.string()), pa.array([r["n"] for r in rows], pa.int64())], names=["anchor", "doc", "key", "first", "passage", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["anchor"] for r in rows], pa.int64()), batch.column(0).take(here), pa.array([r["first"] for r in rows], pa.int32()), batch.column(1).take(here), pa.array(parts, pa.binary()).cast(pa.string())], names=["anchor", "no", "first", "times", "passage"])
+
+    named = once.select("no", "times", F.col("rep").alias("_doc"), F.col("key").alias("_key"))
+    named = named.join(shared, F.col("no") == F.col("_no")).select("no", "times", "_doc", "_key", "shared")
+    met = texts.join(named, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("no", "times", "text", "shared")
+    parts = written(met.mapInArrow(passages, _PARTS), "substring-passages")
+    hot = written(counts.where(F.col("count") > hot_rows).select("_anchor"), "substring-hot")
+    spans = written(_part_spans(parts, hot, size, hot_rows).groupBy(F.col("no").alias("_no")).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "substring-found")
+    of_one = once.where("times = 1").select("no", "rep", "key").join(spans, F.col("no") == F.col("_no")).select(F.col("rep").alias("doc"), "key", "spans")
+    whole = F.array(F.struct(F.lit(0).alias("start"), (F.element_at("starts", -1) + (size - 1)).alias("end")))
+    copies = written(once.where("times > 1").select("key"), "substring-copies")
+    of_copies = _those(found, "key", copies, "left_semi").select("doc", "key", whole.alias("spans")).distinct()
+    return of_one.union(of_copies)
 
-    met = texts.join(shared, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("doc", "key", "text", "shared")
-    parts = written(met.mapInArrow(passages, f"anchor long, doc {kind}, key long, first int, passage string, n long"), "substring-passages")
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    shards = parts.where(F.col("n") <= hot_rows).select("anchor", "doc", "key", "first", "passage")
-    shards = shards.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    spans = shards.mapInArrow(_spans_of_shards(size, arrow), f"doc {kind}, key long, start int, end int")
 
-    hot = parts.where(F.col("n") > hot_rows).select("doc", "key", "first", "passage", F.md5("passage").alias("kind"))
-    more = hot.join(_hot_spans(hot, size), F.col("kind") == F.col("_kind"))
-    more = more.select("doc", "key", (F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + size).alias("end"))
-    return spans.union(more).groupBy("doc", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, key, text): the key is 128 bits of the text's SHA-256."""
+    key = F.substring(F.unhex(F.sha2(text_of(text_col), 256)), 1, 16)
+    return docs.select(F.col(id_col).alias("doc"), key.alias("key"), text_of(text_col).alias("text"))
 
 
 def drop_repeated_windows(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -288,7 +338,7 @@ def drop_repeated_windows(docs: DataFrame, size: int = 35, id_col: str = "doc_id
                 cut.append([{"start": a, "end": b} for a, b in own])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(cut, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["id", "n_words", "n_removed", "kept", "removed"])
 
-    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
+    texts = _texts(docs, id_col, text_col)
     met = texts.join(spans, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left").select("doc", "text", "spans")
     out = met.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept string, removed array<struct<start: int, end: int>>")
     return out.withColumnRenamed("id", id_col)
