@@ -9,16 +9,17 @@ matching statistics reach a state that more than one place has led to is repeate
 a part of the corpus that grows with it, so they cannot be broadcast whole; the automata meet their
 documents through the shuffle, by anchor.
 
-Equal texts take part once, with their number: all their windows are repeated. An anchor with more
-than `hot_rows` stretches is cut by a second anchor, of another order of the hashes, so that its
-shards stay small enough for an automaton. A pair of anchors that is still too common, as in a large
-family of near copies, is cut into single windows; two of these are repeated only if they are equal,
-so they are counted by their words and need no automaton and no one place.
+Equal texts take part once, with their number: all their windows are repeated. In the same way equal
+stretches stand in their shard once, and where there are two of them all their windows are repeated;
+only the others are streamed. A shard of more than `hot_rows` different stretches is cut by a second
+anchor, of another order of the hashes. What is still as large, as in a big family of near copies, is
+cut into single windows, of which two are repeated only if they are equal; grouping tells that in
+any number of places.
 
 Defined results: words are the runs between white space, unchanged; a null text has none. Windows
 are judged on the input: both of two equal windows go, within one document too. Rows that repeat
 are places of their own. Null ids are ids like any other. Columns other than the two named are not
-read. Texts are told apart by 128 bits of their SHA-256, windows by their words.
+read. Texts and stretches are told apart by 128 bits of a hash.
 """
 
 from __future__ import annotations
@@ -165,23 +166,34 @@ def shard_spans(passages: list[bytes], size: int, times: list[int] | None = None
     return [spans[p] for p in passages]
 
 
-#: Stretches, with the number and the times of their text and the place of their first word.
-_PARTS = "anchor long, no long, first int, times long, passage string"
+#: Stretches: the number of their text, the place of the first word, how many words there are, in how
+#: many places they stand (beyond one, number and place are of any of these), a hash, and the words.
+_PARTS = "anchor long, no long, first int, words int, times long, kind binary, passage string"
 _SPANS = "no long, start int, end int"
 
 
+def _parts_of(anchor: list[int], no: pa.Array, first: list[int], times: pa.Array, parts: list[bytes]) -> pa.RecordBatch:
+    words = pa.array([p.count(b" ") + 1 for p in parts], pa.int32())
+    kinds = pa.array([xxhash.xxh3_128_digest(p) for p in parts], pa.binary())
+    columns = [pa.array(anchor, pa.int64()), no, pa.array(first, pa.int32()), words, times, kinds, pa.array(parts, pa.binary()).cast(pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["anchor", "no", "first", "words", "times", "kind", "passage"])
+
+
 def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
     no, start, end = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["no", "start", "end"])
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(anchor, no, first, times, passage) of each row."""
     columns = [batch.column(k).to_pylist() for k in range(4)] + [batch.column(4).cast(pa.binary()).to_pylist()]
     return zip(*columns, strict=True)
 
 
 def _spans_of_shards(size: int):
     def settled(rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1:  # no other stretch, and no window stands in one stretch twice
+            return []
         spans = shard_spans([r[4] for r in rows], size, [r[3] for r in rows])
         return [(no, first + a, first + b) for (_, no, first, times, _), some in zip(rows, spans, strict=True) if times == 1 for a, b in some]
 
@@ -205,7 +217,7 @@ def _spans_of_shards(size: int):
 
 
 def _cut_again(size: int, single: bool):
-    """The parts by a second anchor, or as single windows."""
+    """Stretches by a second anchor, or as single windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,8 +225,8 @@ def _cut_again(size: int, single: bool):
             for i, (old, _, place, _, passage) in enumerate(_rows(batch)):
                 words = passage.split(b" ")
                 if single:
-                    starts, n = np.arange(len(words) - size + 1), len(words) - size + 1
-                    hashes = np.full(n, old)
+                    n = len(words) - size + 1
+                    hashes, starts = np.full(n, old), np.arange(n)
                 else:
                     hashes, starts, n = stretches(words, size, 1)
                     with np.errstate(over="ignore"):
@@ -225,7 +237,7 @@ def _cut_again(size: int, single: bool):
                     first.append(place + low)
                     parts.append(b" ".join(words[low : high + size - 1]))
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), batch.column(1).take(take), pa.array(first, pa.int32()), batch.column(3).take(take), pa.array(parts, pa.binary()).cast(pa.string())], names=["anchor", "no", "first", "times", "passage"])
+            yield _parts_of(anchor, batch.column(1).take(take), first, batch.column(3).take(take), parts)
 
     return run
 
@@ -233,28 +245,31 @@ def _cut_again(size: int, single: bool):
 def _those(rows: DataFrame, column: str, few: DataFrame, how: str) -> DataFrame:
     """A semi or anti join with a written table, which is sent to every executor only while it is small."""
     other = few.select(F.col(few.columns[0]).alias("_those"))
-    small = other.agg(F.sum(F.octet_length(F.col("_those").cast("string")) + 16)).first()[0]
-    return rows.join(F.broadcast(other) if (small or 0) <= BROADCAST_BYTES else other, F.col(column) == F.col("_those"), how)
+    small = other.count() * 64 <= BROADCAST_BYTES
+    return rows.join(F.broadcast(other) if small else other, F.col(column) == F.col("_those"), how)
 
 
-def _part_spans(parts: DataFrame, hot: DataFrame, size: int, hot_rows: int) -> DataFrame:
-    """(no, start, end): repeated spans of all parts; hot has the anchors of more than hot_rows of them."""
+def _part_spans(parts: DataFrame, size: int, hot_rows: int, cut: int = 0) -> DataFrame:
+    """(no, start, end): spans of the stretches that are repeated or whose windows are, after `cut` cuts."""
     spark = parts.sparkSession
-
-    def of_shards(some: DataFrame) -> DataFrame:
-        return some.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_spans_of_shards(size), _SPANS)
-
-    if hot.isEmpty():
-        return of_shards(parts)
-    again = written(_those(parts, "anchor", hot, "left_semi").mapInArrow(_cut_again(size, False), _PARTS), "substring-again")
-    still = written(again.groupBy("anchor").count().where(f"count > {hot_rows}").select("anchor"), "substring-still")
-    found = of_shards(_those(parts, "anchor", hot, "left_anti").union(_those(again, "anchor", still, "left_anti")))
-    if still.isEmpty():
+    kinds = parts.groupBy("anchor", "kind", "passage").agg(F.sum("times").alias("times"), F.min("no").alias("no"), F.min("first").alias("first"))
+    kinds = written(kinds.select("anchor", "no", "first", "times", "passage", "kind"), "substring-kinds")
+    equal = kinds.where("times > 1").select(F.col("anchor").alias("_anchor"), F.col("kind").alias("_kind"))
+    asked = parts.where("times = 1").select("anchor", "kind", "no", "first", "words")
+    found = asked.join(equal, (F.col("anchor") == F.col("_anchor")) & (F.col("kind") == F.col("_kind")), "left_semi")
+    found = found.select("no", F.col("first").alias("start"), (F.col("first") + F.col("words")).alias("end"))
+    if cut == 2:  # these are single windows, which have nothing in common unless they are equal
+        return found
+    kinds = kinds.drop("kind")
+    hot = written(kinds.groupBy("anchor").count().where(f"count > {hot_rows}").select("anchor"), "substring-hot")
+    few = hot.isEmpty()
+    cold = kinds if few else _those(kinds, "anchor", hot, "left_anti")
+    shards = cold.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
+    found = found.union(shards.mapInArrow(_spans_of_shards(size), _SPANS))
+    if few:
         return found
-    single = written(_those(again, "anchor", still, "left_semi").mapInArrow(_cut_again(size, True), _PARTS), "substring-single")
-    twice = written(single.groupBy("passage").agg(F.sum("times").alias("n")).where("n > 1").select("passage"), "substring-twice")
-    met = _those(single.where("times = 1"), "passage", twice, "left_semi")
-    return found.union(met.select("no", F.col("first").alias("start"), (F.col("first") + size).alias("end")))
+    again = _those(kinds, "anchor", hot, "left_semi").mapInArrow(_cut_again(size, cut == 1), _PARTS)
+    return found.union(_part_spans(written(again, "substring-again"), size, hot_rows, cut + 1))
 
 
 def repeated_spans(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -279,8 +294,8 @@ def repeated_spans(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
     once = written(once.select("key", "rep", "times", "of.*").withColumn("no", F.monotonically_increasing_id()), "substring-texts")
     each = once.select("no", "starts", F.posexplode("hashes").alias("i", "anchor"))
     each = each.select("no", "anchor", F.element_at("starts", F.col("i") + 1).alias("first"), F.element_at("starts", F.col("i") + 2).alias("next"))
-    counts = written(once.select(F.explode("hashes").alias("_anchor")).groupBy("_anchor").count().where("count > 1"), "substring-counts")
-    shared = each.join(counts.select("_anchor"), F.col("anchor") == F.col("_anchor")).groupBy(F.col("no").alias("_no"))
+    counts = once.select(F.explode("hashes").alias("_anchor")).groupBy("_anchor").count().where("count > 1").select("_anchor")
+    shared = each.join(counts, F.col("anchor") == F.col("_anchor")).groupBy(F.col("no").alias("_no"))
     shared = written(shared.agg(F.collect_set(F.struct("first", "next", "anchor")).alias("shared")), "substring-shared")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,14 +306,14 @@ def repeated_spans(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
                 rows = batch.column(3)[at].as_py()
                 parts = [b" ".join(words[r["first"] : r["next"] + size - 1]) for r in rows]
                 here = pa.array([at] * len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r["anchor"] for r in rows], pa.int64()), batch.column(0).take(here), pa.array([r["first"] for r in rows], pa.int32()), batch.column(1).take(here), pa.array(parts, pa.binary()).cast(pa.string())], names=["anchor", "no", "first", "times", "passage"])
+                yield _parts_of([r["anchor"] for r in rows], batch.column(0).take(here), [r["first"] for r in rows], batch.column(1).take(here), parts)
 
+    # Of a text with copies all goes; it is here for others to be compared with.
     named = once.select("no", "times", F.col("rep").alias("_doc"), F.col("key").alias("_key"))
     named = named.join(shared, F.col("no") == F.col("_no")).select("no", "times", "_doc", "_key", "shared")
     met = texts.join(named, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("no", "times", "text", "shared")
     parts = written(met.mapInArrow(passages, _PARTS), "substring-passages")
-    hot = written(counts.where(F.col("count") > hot_rows).select("_anchor"), "substring-hot")
-    spans = written(_part_spans(parts, hot, size, hot_rows).groupBy(F.col("no").alias("_no")).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "substring-found")
+    spans = written(_part_spans(parts, size, hot_rows).groupBy(F.col("no").alias("_no")).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "substring-found")
     of_one = once.where("times = 1").select("no", "rep", "key").join(spans, F.col("no") == F.col("_no")).select(F.col("rep").alias("doc"), "key", "spans")
     whole = F.array(F.struct(F.lit(0).alias("start"), (F.element_at("starts", -1) + (size - 1)).alias("end")))
     copies = written(once.where("times > 1").select("key"), "substring-copies")
