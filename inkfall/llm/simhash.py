@@ -14,7 +14,6 @@ fingerprints take part, and a tree gives the edges of a spanning forest, never a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -236,12 +235,15 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str
 
 
 #: Fingerprints of independent seeds that the pipeline's stage takes, and values of a sketch.
-SEEDS, SKETCH = 6, 128
+SEEDS, SKETCH = 2, 128
+#: Keys of a text, each of the least hashes under BAND_ROWS orders of its shingles: two texts of a
+#: similarity of 0.8 have some key in common but for 1 - (1 - 0.8^7)^40, less than once in 10,000.
+BANDS, BAND_ROWS = 40, 7
 #: A pair goes to the exact test unless its sketches fall short of the similarity by more than this,
 #: which a pair that has the similarity does less than once in 10^12 times.
 SLACK = 0.3
-#: Documents that tell which shingles are common, and how many of these are told apart.
-COMMON_DOCS, COMMON = 10_000, 50_000
+
+_ODD = (np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
 def _sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -256,52 +258,38 @@ def _sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(run, f"id {kind}, shingles binary")
 
 
-def _common(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that some documents share, sorted, and in how many of these documents each is.
-
-    They only order the shingles of a text, rare ones first; any such order finds the same pairs.
-    """
-    every = max(1, docs.count() // COMMON_DOCS)
-    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(text_of(text_col))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, size)).view(np.int64))], names=["h"])
-
-    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON)
-    found = sorted((h & 0xFFFFFFFFFFFFFFFF, n) for h, n in counts.collect())
-    return np.array([h for h, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)
-
-
-def _prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles, rare before common, one of which any text of that similarity has among its own."""
-    n = len(shingles)
-    if n and len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
-        shingles = shingles[np.lexsort((shingles, np.where(common[0][at] == shingles, common[1][at], 0)))]
-    return shingles[: n - math.ceil(similarity * n - 1e-6) + 1]
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes; those of an empty set are equal for all such sets."""
+    short = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    least = np.full(len(_ODD), 0xFFFFFFFF, np.uint32)
+    with np.errstate(over="ignore"):
+        for first in range(0, len(short), 512):
+            np.minimum(least, (short[first : first + 512] * _ODD[:, None]).min(axis=1), out=least)
+        keys = np.arange(BANDS, dtype=np.uint64)
+        for column in least.reshape(BANDS, BAND_ROWS).T.astype(np.uint64):
+            keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(29)
+    return keys
 
 
-def _sketched(docs: DataFrame, size: int, seeds: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, fps, sketch, prefix) of each row: distinct shingles, fingerprints, least hashes, prefix."""
-    common = _common(docs, size, id_col, text_col)
+def _sketched(docs: DataFrame, size: int, seeds: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, fps, sketch, bands) of each row: distinct shingles, fingerprints, least hashes, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, fps, sketches, prefixes = [], [], [], []
+            ns, fps, sketches, bands = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, size)
                 fps.append([_signed(fingerprint(reseeded(hashes, k))) for k in range(seeds)])
                 distinct = np.unique(hashes)
                 ns.append(len(distinct))
                 sketches.append(np.sort(reseeded(distinct, 99))[:SKETCH].view(np.int64))
-                prefixes.append(_prefix(distinct, similarity, common).view(np.int64))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, sketches, prefixes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), *lists], names=["id", "n", "fps", "sketch", "prefix"])
+                bands.append(band_keys(distinct).view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, sketches, bands)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), *lists], names=["id", "n", "fps", "sketch", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(run, f"id {kind}, n int, fps array<long>, sketch array<long>, prefix array<long>")
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(run, f"id {kind}, n int, fps array<long>, sketch array<long>, bands array<long>")
 
 
 def _similarity(a: Iterator[list[int]], b: Iterator[list[int]]) -> list[float]:
@@ -345,11 +333,8 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, si
     return written(met(likely, sets, "shingles").mapInArrow(kept(exact, similarity), f"id {kind}, other {kind}"), "near-confirmed")
 
 
-def _prefix_pairs(similarity: float, kind: pa.DataType):
-    """Pairs of rows (hash, pos, n, part, id), sorted, with a hash in common and not in one part.
-
-    Only pairs that their sizes or the places of the hash rule out are left out.
-    """
+def _key_pairs(similarity: float, kind: pa.DataType):
+    """Pairs of rows (key, n, part, id), sorted, of one key and not of one part, but for sizes that rule them out."""
 
     def out(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids[i], kind), pa.array(ids[j], kind)], names=["id", "other"])
@@ -363,8 +348,8 @@ def _prefix_pairs(similarity: float, kind: pa.DataType):
             if rest is None or not len(rest[0]):
                 continue
             end = np.searchsorted(rest[0], rest[0][-1]) if batch is not None else len(rest[0])
-            key, pos, n, part, ids = (x[:end] for x in rest)
-            rest = [x[end:] for x in rest]  # the last bucket may go on in the next batch
+            key, n, part, ids = (x[:end] for x in rest)
+            rest = [x[end:] for x in rest]  # the last key may go on in the next batch
             if not end:
                 continue
             new_key = np.concatenate([[True], key[1:] != key[:-1]])
@@ -375,10 +360,7 @@ def _prefix_pairs(similarity: float, kind: pa.DataType):
             j = later[i]
             some: list[tuple[np.ndarray, np.ndarray]] = []
             while len(i):
-                before = np.minimum(pos[i], pos[j])
-                after = np.minimum(n[i] - pos[i], n[j] - pos[j])
-                need = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
-                able = before + after >= need
+                able = np.minimum(n[i], n[j]) >= (similarity - 1e-6) * np.maximum(n[i], n[j])
                 some.append((i[able], j[able]))
                 if sum(len(x) for x, _ in some) > 100_000:
                     yield out(ids, *map(np.concatenate, zip(*some, strict=True)))
@@ -391,17 +373,18 @@ def _prefix_pairs(similarity: float, kind: pa.DataType):
 
 
 def near_copies(docs: DataFrame, size: int = 5, radius: int = 4, seeds: int = SEEDS, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, root) over ids of near copies: components of the pairs with the similarity, all of them.
+    """(node, root) over ids of near copies: components of the pairs with the similarity.
 
     The similarity is the Jaccard index of the sets of `size`-word shingles; texts without words are
-    equal. Links of fingerprints of any seed, confirmed on the full sets, join most near copies into
-    parts. Two texts of that similarity share a shingle of their prefixes, so a second step takes
-    all pairs that do and are not in one part yet, and confirms them in the same way: none is missed
-    for its fingerprints or for a link that the forest left out. Rows with a null id take no part.
+    equal. Candidates are links of fingerprints of any seed and texts with a key in common. First
+    the links of the fingerprints' forest and, for each key, those to its least id are confirmed on
+    the full sets, and what they join is a part. Then all pairs that have a key in common and are
+    not in one part are confirmed, so none is missed for a link that the first step left out or that
+    failed. Rows with a null id take no part; rows that repeat an id are one node.
     """
     docs = docs.where(F.col(id_col).isNotNull())
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = written(_sketched(docs, size, seeds, similarity, id_col, text_col), "near-rows")
+    rows = written(_sketched(docs, size, seeds, id_col, text_col), "near-rows")
     marks = rows.select("id", F.posexplode("fps").alias("seed", "fp"))
     classes = written(marks.groupBy("seed", "fp").agg(F.min("id").alias("least")), "near-classes")
     edges = written(links(classes.select("fp", "seed"), radius), "near-links")
@@ -409,12 +392,17 @@ def near_copies(docs: DataFrame, size: int = 5, radius: int = 4, seeds: int = SE
     same = marks.join(first, (F.col("seed") == F.col("_s")) & (F.col("fp") == F.col("_f"))).where("id != other").select("id", "other")
     left = edges.join(first.withColumnRenamed("other", "id"), (F.col("seed") == F.col("_s")) & (F.col("a") == F.col("_f"))).select("seed", "b", "id")
     cross = left.join(first, (F.col("seed") == F.col("_s")) & (F.col("b") == F.col("_f"))).where("id != other").select("id", "other")
-    pairs = written(same.union(cross).distinct(), "near-pairs")
+    keys = rows.select("id", "n", F.explode("bands").alias("h"))
+    shared = keys.groupBy(F.col("h").alias("_h")).agg(F.min("id").alias("other"), F.max("id").alias("most")).where("other != most").drop("most")
+    held = written(keys.join(shared, F.col("h") == F.col("_h")).select("id", "n", "h", "other"), "near-keys")
+    stars = held.where("id != other").select("id", "other")
+    pairs = written(same.union(cross).union(stars).distinct(), "near-pairs")
     near = _confirmed(pairs, rows, docs, size, similarity, id_col, text_col)
     parts = written(components(near, "id", "other").distinct(), "near-parts")
-    held = rows.join(parts, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("part"), F.posexplode("prefix").alias("pos", "h"))
-    dealt = held.select("h", "pos", "n", "part", "id").repartition(max(partitions(docs.sparkSession), 1), "h").sortWithinPartitions("h", "part", "id")
-    met = dealt.mapInArrow(_prefix_pairs(similarity, to_arrow_type(docs.schema[id_col].dataType)), f"id {kind}, other {kind}").distinct()
+    held = written(held.join(parts, F.col("id") == F.col("node"), "left").select("h", "n", F.coalesce("root", "id").alias("part"), "id"), "near-held")
+    mixed = held.groupBy(F.col("h").alias("_h")).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("_h")
+    dealt = held.join(mixed, F.col("h") == F.col("_h"), "left_semi").repartition(max(partitions(docs.sparkSession), 1), "h").sortWithinPartitions("h", "part", "id")
+    met = dealt.mapInArrow(_key_pairs(similarity, to_arrow_type(docs.schema[id_col].dataType)), f"id {kind}, other {kind}").where("id != other").distinct()
     more = _confirmed(written(met, "near-met"), rows, docs, size, similarity, id_col, text_col)
     return components(near.union(more), "id", "other")
 
