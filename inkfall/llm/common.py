@@ -69,6 +69,13 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def plain(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1, ..., so that no column of its own meets one of an operator's; what names are called then."""
+    columns = df.columns
+    low = [c.lower() for c in columns]
+    return df.toDF(*[f"c{k}" for k in range(len(columns))]), [f"c{columns.index(n) if n in columns else low.index(n.lower())}" for n in names]
+
+
 def spare_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

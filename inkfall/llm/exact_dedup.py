@@ -17,10 +17,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SPACE, spare_name, text_of, written
+from .common import BROADCAST_BYTES, SPACE, plain, text_of, written
 
 #: Bits of the filter for each row, before rounding up to a power of two.
 BITS_PER_ROW = 16
+#: What a group of copies takes in memory, with room to spare.
+GROUP_BYTES = 160
 
 
 def normalised(text: str = "text") -> Column:
@@ -34,8 +36,11 @@ def _slots(sha: str, bits: int) -> list[Column]:
 def repeated_slots(hashes: DataFrame, sha: str, bits: int) -> DataFrame:
     """Pass one: (bucket, bitmap) of the slots that more than one insertion has set."""
     slot = hashes.select(F.explode(F.array(*_slots(sha, bits))).alias("slot"))
-    twice = slot.groupBy("slot").count().where("count > 1")
-    return twice.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
+    return _bitmaps(slot.groupBy("slot").count().where("count > 1"))
+
+
+def _bitmaps(slots: DataFrame) -> DataFrame:
+    return slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
 
 
 def _is_set(bitmap: str, slot: str) -> Column:
@@ -98,23 +103,40 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """The documents without exact copies, with all their columns.
 
-    Rows whose hash is single are never shuffled; the others meet their group's first row in a
-    join that the engine can split where one group is large.
+    Both passes read ids and hashes alone, from one reading of the texts. What comes back to the
+    texts is one row for each group of copies: all of these where they take BROADCAST_BYTES at most,
+    and beyond that a filter of them, by which single texts pass through and only the others are
+    shuffled. Where that filter is too large as well, the texts are shuffled once.
     """
-    sha, flag = spare_name(docs, "_sha"), spare_name(docs, "_maybe")
-    hashed = docs.withColumn(sha, F.unhex(F.sha2(normalised(text_col), 256)))
-    hashes = written(hashed.select(F.col(id_col).alias("id"), F.col(sha).alias("sha")), "exact-hashes")
+    own, (id_, text) = plain(docs, id_col, text_col)
+    hashed = own.withColumn("sha", F.unhex(F.sha2(normalised(text), 256)))
+    hashes = written(hashed.select(F.col(id_).alias("id"), "sha"), "exact-hashes")
     bits = _filter_bits(hashes.count(), bits)
-    small = bits // 8 <= BROADCAST_BYTES
     filters = written(repeated_slots(hashes, "sha", bits), "exact-filter")
-    maybe = possibly_repeated(hashes, filters, "sha", bits, small, "maybe").where("maybe")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("first")
-    groups = maybe.groupBy("sha").agg(first, F.count("*").alias("_size")).where("_size > 1")
-    groups = written(groups.select(F.col("sha").alias("_group"), F.col("first.id").alias("_keep"), "_size"), "exact-groups")
-    flagged = possibly_repeated(hashed, filters, sha, bits, small, flag)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    candidates = flagged.where(F.col(flag)).join(groups, F.col(sha) == F.col("_group"), "left")
-    lone = candidates.where("_size is null").select(*names)
-    kept = candidates.where(F.col("_size").isNotNull() & F.col(id_col).eqNullSafe(F.col("_keep")))
-    kept = kept.dropDuplicates([id_col, sha]).select(*names)  # a row for each group, unless a doc_id repeats
-    return flagged.where(~F.col(flag)).select(*names).union(lone).union(kept)
+    maybe = possibly_repeated(hashes, filters, "sha", bits, bits // 8 <= BROADCAST_BYTES, "maybe").where("maybe")
+    rows = maybe.groupBy("sha", "id").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rows")).alias("first")
+    groups = rows.groupBy("sha").agg(first, F.sum("rows").alias("size")).where("size > 1")
+    groups = written(groups.select(F.col("sha").alias("group"), F.col("first.id").alias("keep"), F.col("first.rows").alias("rows")), "exact-groups")
+    n = groups.count()
+    own_columns = own.columns
+
+    def firsts(some: DataFrame, small: bool) -> DataFrame:
+        met = some.join(F.broadcast(groups) if small else groups, F.col("sha") == F.col("group"), "left")
+        kept = met.where(F.col("group").isNull() | (F.col("rows") == 1) & F.col(id_).eqNullSafe(F.col("keep"))).select(*own_columns)
+        if groups.where("rows > 1").isEmpty():
+            return kept
+        # Rows that repeat both id and text: one of them stays.
+        again = met.where((F.col("rows") > 1) & F.col(id_).eqNullSafe(F.col("keep")))
+        return kept.union(again.dropDuplicates(["sha"]).select(*own_columns))
+
+    bits = _filter_bits(n, None)
+    if n * GROUP_BYTES <= BROADCAST_BYTES:
+        found = firsts(hashed, True)
+    elif bits // 8 <= BROADCAST_BYTES:
+        slots = groups.select(F.explode(F.array(*_slots("group", bits))).alias("slot")).distinct()
+        flagged = possibly_repeated(hashed, written(_bitmaps(slots), "exact-group-filter"), "sha", bits, True, "maybe")
+        found = flagged.where("not maybe").select(*own_columns).union(firsts(flagged.where("maybe"), False))
+    else:
+        found = firsts(hashed, False)
+    return found.toDF(*docs.columns)

@@ -59,3 +59,24 @@ def test_drop_copies(spark):
         ids = by[_norm(r.text)]
         assert r.doc_id == min((i for i in ids if i is not None), default=None)
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0 and exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_names_of_the_operator_are_free(spark):
+    names = ["sha", "group", "keep", "rows", "maybe", "_slot0", "_bucket0", "_bitmap1", "_size", "c0"]
+    rows = [(i, f"text {i % 4}", *[f"{n}{i}" for n in names]) for i in range(8)] + [(0, "text 0", *[f"{n}0" for n in names])]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = exact_dedup.drop_copies(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows[:4]
+
+
+def test_single_texts_are_not_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(60)], "doc_id long, text string")
+    for room in (exact_dedup.BROADCAST_BYTES, 1 << 13):  # groups sent; a filter of the groups sent
+        monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", room)
+        monkeypatch.setattr(exact_dedup, "GROUP_BYTES", 1 if room > 1 << 13 else 1 << 20)
+        out = exact_dedup.drop_copies(docs)
+        assert sorted(r.doc_id for r in out.collect()) == list(range(40))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" in plan if room == 1 << 13 else "Union" not in plan
+        if room > 1 << 13:
+            assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
