@@ -52,13 +52,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.remainder("doc_id") == 2).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-#: Shares of the sources in thousandths: the largest is held below a third. Others share 2 parts.
-MIX_WEIGHTS = {"src0": 314} | {f"src{i}": 36 for i in range(1, 20)}
-MIX_OTHER, MIX_BLOCK = 2, 16
+#: Target weights, a parameter of the query and of the pipeline's stage: as much of each named source,
+#: and a fifth of that of all others together. They are not taken from the sizes of any table.
+MIX_WEIGHTS = {f"src{i}": 5 for i in range(20)}
+MIX_OTHER, MIX_BLOCK = 1, 16
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = mixing.schedule(_table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS, other=MIX_OTHER, block_docs=MIX_BLOCK)
+    placed = mixing.schedule(_table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS, other=MIX_OTHER, block_docs=MIX_BLOCK, whole=True)
     return placed.select("doc_id", "source", *[F.col(f"_{c}").alias(c) for c in ("block", "release", "deadline", "slot", "position", "in_mix")])
 
 
@@ -91,36 +92,41 @@ FROM e GROUP BY conv_id
 
 OP8_SQL = """
 WITH RECURSIVE weights AS (
-  SELECT 'src0' AS name, 314 AS weight UNION ALL SELECT 'src' || i, 36 FROM range(1, 20) AS r(i) UNION ALL SELECT '', 2
+  SELECT 'src' || i AS name, 5 AS weight FROM range(20) AS r(i) UNION ALL SELECT '', 1
 ), docs AS (
   SELECT doc_id, source, coalesce(w.name, '') AS name, md5(CAST(doc_id AS VARCHAR)) AS hash
   FROM documents LEFT JOIN (SELECT name FROM weights WHERE name <> '') w ON source = w.name
 ), used AS (
-  SELECT name, weight, n, row_number() OVER (ORDER BY name = '', name) AS k
+  SELECT name, weight, (n + 15) // 16 AS blocks, row_number() OVER (ORDER BY name = '', name) AS k
   FROM weights JOIN (SELECT name, count(*) AS n FROM docs GROUP BY name) USING (name)
 ), p AS (
-  SELECT list(weight ORDER BY k) AS w, CAST(sum(weight) AS BIGINT) AS total, count(*) AS sources FROM used
-), edf AS (
-  SELECT CAST(-1 AS BIGINT) AS slot, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS j, CAST(0 AS BIGINT) AS pick FROM p
+  SELECT list(weight ORDER BY k) AS w, list(blocks ORDER BY k) AS b, list(CAST(0 AS BIGINT) ORDER BY k) AS zero FROM used
+), edf AS (  -- slot by slot; where the next in turn has no block left, the others start a new schedule
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS base, zero AS j, zero AS done, list_transform(w, lambda x: CAST(x AS BIGINT)) AS live,
+    CAST(NULL AS BIGINT) AS k, CAST(NULL AS BIGINT) AS block, CAST(NULL AS BIGINT) AS release, CAST(NULL AS BIGINT) AS deadline FROM p
   UNION ALL
-  SELECT slot + 1, list_transform(j, lambda x, k: x + CASE WHEN k = best THEN 1 ELSE 0 END), best FROM (
-    SELECT slot, j, list_min(list_transform(j, lambda x, k: CASE WHEN x < w[k] AND x * total // w[k] <= slot + 1
-      THEN (((x + 1) * total + w[k] - 1) // w[k]) * 10000 + k END)) % 10000 AS best
-    FROM edf, p WHERE slot + 1 < total)
-), slots AS (
-  SELECT pick AS k, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS i FROM edf WHERE slot >= 0
+  SELECT slot, base, list_transform(j, lambda x, i: x + CASE WHEN i = pick THEN 1 ELSE 0 END), list_transform(done, lambda x, i: x + CASE WHEN i = pick THEN 1 ELSE 0 END), live,
+    pick, done[pick], base + j[pick] * total // live[pick], base + ((j[pick] + 1) * total + live[pick] - 1) // live[pick]
+  FROM (
+    SELECT *, CAST(list_min(list_transform(j, lambda x, i: CASE WHEN live[i] > 0 AND x * total // live[i] <= slot - base
+      THEN ((x + 1) * total + live[i] - 1) // live[i] * 1000 + i END)) % 1000 AS BIGINT) AS pick
+    FROM (
+      SELECT slot, CASE WHEN ends THEN slot ELSE base END AS base, CASE WHEN ends THEN zero ELSE j END AS j, done,
+        CASE WHEN ends THEN rest ELSE live END AS live, CAST(list_sum(CASE WHEN ends THEN rest ELSE live END) AS BIGINT) AS total
+      FROM (
+        SELECT *, b[turn] = done[turn] AS ends, list_transform(w, lambda x, i: CASE WHEN done[i] < b[i] THEN CAST(x AS BIGINT) ELSE 0 END) AS rest FROM (
+          SELECT *, CAST(list_min(list_transform(j, lambda x, i: CASE WHEN live[i] > 0 AND x * total // live[i] <= slot - base
+            THEN ((x + 1) * total + live[i] - 1) // live[i] * 1000 + i END)) % 1000 AS BIGINT) AS turn
+          FROM (SELECT slot + 1 AS slot, base, j, done, live, w, b, zero, CAST(list_sum(live) AS BIGINT) AS total FROM edf, p WHERE slot + 1 < list_sum(b))
+        )
+      )
+    )
+  )
 ), ranked AS (
-  SELECT docs.*, u.k, u.weight, row_number() OVER (PARTITION BY u.k ORDER BY hash, doc_id) - 1 AS rank FROM docs JOIN used u USING (name)
-), ends AS (
-  SELECT min((n // 16) // weight * total + slot) AS horizon FROM used u, p, slots s
-  WHERE u.k = s.k AND s.i = (n // 16) % weight AND u.name <> ''
+  SELECT docs.*, u.k, row_number() OVER (PARTITION BY u.k ORDER BY hash, doc_id) - 1 AS rank FROM docs JOIN used u USING (name)
 )
-SELECT doc_id, source, rank // 16 AS block, (rank // 16) * total // weight AS release,
-  ((rank // 16 + 1) * total + weight - 1) // weight AS deadline,
-  (rank // 16) // weight * total + s.slot AS slot,
-  ((rank // 16) // weight * total + s.slot) * 16 + rank % 16 AS position,
-  (rank // 16) // weight * total + s.slot < horizon AS in_mix
-FROM ranked r, p, slots s, ends WHERE r.k = s.k AND s.i = (rank // 16) % weight
+SELECT doc_id, source, block, release, deadline, slot, slot * 16 + rank % 16 AS position, true AS in_mix
+FROM ranked r JOIN edf s ON r.k = s.k AND s.block = rank // 16
 """
 
 OP5_SQL = """

@@ -81,3 +81,11 @@ def test_the_whole_goes_on_past_short_sources(spark):
             assert all(abs(done[x] - t * parts[x] / total) < 1 for x in live)
     blocks = sorted({(r._position // 4, group(r.source)) for r in placed}, key=lambda b: b[0])
     assert blocks == list(enumerate(want))
+
+
+def test_names_of_the_operator_are_free(spark):
+    names = ["_hash", "_group", "_piece", "_own", "_rank", "_position", "position", "in_mix", "c0", "_g"]
+    rows = [(i, "ab"[i % 2], *[f"{n}{i}" for n in names]) for i in range(40)]
+    docs = spark.createDataFrame(rows, ["doc_id", "source", *names])
+    mixed = mixing.mix(docs, {"a": 2}, block_docs=4, whole=True)
+    assert mixed.columns == docs.columns and sorted(map(tuple, mixed.collect())) == rows
