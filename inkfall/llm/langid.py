@@ -5,16 +5,19 @@ language a model of ORDER-grams is learned from a bounded sample of labelled doc
 share one sorted array of hashes for each order; beside a hash stands the interpolated probability
 of its n-gram in every language, and the weight with which each language backs off from it as a
 context, so a character costs one binary search where its longest n-gram is known to any language.
-The language of least cross-entropy per character wins. A text whose entropy is beyond all that the
-language's held-back sample showed, with a margin, is rejected.
+The language of least cross-entropy per character wins. A text whose entropy is beyond what the
+language's held-back sample shows but for its oddest hundredth, with a margin, is rejected.
 
-Sample: up to SAMPLE_DOCS documents of up to SAMPLE_CHARS characters for each of the LANGUAGES most
-frequent labels, those of the least hashes of their ids, and half as many more to set the bounds.
-Everything else reads whole texts of all documents.
+Sample: up to SAMPLE_DOCS documents for each of the LANGUAGES most frequent labels, those of the
+least hashes of their ids, and half as many more to set the bounds; of a text longer than
+SAMPLE_CHARS, a stretch of so many characters from a place that the hash gives. These bounds are
+parameters of the learning, and they bound the model that is sent to the executors: SAMPLE_DOCS *
+SAMPLE_CHARS * ORDER n-grams a language at most. Everything else reads whole texts of all documents.
 
 Defined results: a text that is null or has no letter is `und`, with score 0, and rejected; so is
 every text if no document has a label. A null id counts as the text "null" in the choice of learned
-documents. Ties go to the first language in order. Other columns are carried along.
+documents. Ties go to the first language in order. Other columns are carried along; keep_identified
+lets them have any names, and identify adds its own three after them.
 """
 
 from __future__ import annotations
@@ -28,10 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import plain
+
 ORDER = 5
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 400, 20_000, 100
-#: Nats per character beyond the largest entropy of the held-back sample that are still accepted.
-MARGIN = 1.0
+#: A text is accepted up to MARGIN nats per character beyond the entropy that this share of the
+#: held-back sample keeps within.
+MARGIN, USUAL = 1.0, 0.99
 #: Characters up to which longer texts make the score more certain.
 CERTAIN = 40
 _CHUNK = 400_000
@@ -179,14 +185,16 @@ def remainder(id_col: str) -> Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """The model of docs' labels; documents whose remainder is 2 are never read. None without labels."""
-    labelled = docs.where((remainder(id_col) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
+    labelled = docs.where((remainder(id_col) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = dict(map(tuple, labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()))
     if not counts:
         return None
     hashed = F.crc32(F.concat_ws(":", F.lit("sample"), F.col(id_col).cast("string")).cast("binary"))
     want = 3 * sample_docs  # enough for the sample, the held-back part and chance
     shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, want / n) * (1 << 32))))])
-    rows = labelled.where(hashed < F.element_at(shares, F.col(lang_col))).select(lang_col, hashed.alias("h"), text_col).collect()
+    start = F.pmod(F.xxhash64(hashed), F.greatest(F.length(text_col) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    part = F.substring(F.col(text_col), start, F.lit(SAMPLE_CHARS)).alias("part")
+    rows = labelled.where(hashed < F.element_at(shares, F.col(lang_col))).select(lang_col, hashed.alias("h"), part).collect()
     by: dict[str, list[tuple[int, str]]] = {}
     for lang, h, text in rows:
         by.setdefault(lang, []).append((h, text))
@@ -201,7 +209,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     model = train(train_on)
     for k, lang in enumerate(model.languages):
         own = model.entropies(held_back[lang] or train_on[lang])[:, k]
-        model.bound[k] = float(np.max(own)) + MARGIN
+        model.bound[k] = float(np.quantile(own, USUAL)) + MARGIN
     return model
 
 
@@ -245,5 +253,6 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    found = identify(docs, learn(docs, id_col, text_col, lang_col), text_col)
-    return found.where(~F.col("_rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, (id_, text, lang) = plain(docs, id_col, text_col, lang_col)
+    found = identify(own, learn(own, id_, text, lang), text).where(~F.col("_rejected"))
+    return found.select(*own.columns).toDF(*docs.columns)

@@ -94,6 +94,18 @@ def test_identify(spark):
             assert r._lang_pred == "xx"
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns
+    clash = docs.withColumn("_rejected", docs.c0).withColumn("_score", docs.c0).withColumn("_lang_pred", docs.c0)
+    assert langid.keep_identified(clash).columns == clash.columns and langid.keep_identified(clash).count() == kept.count()
     none = docs.withColumn("lang", docs.lang.cast("string")).where("lang is null and doc_id = 903")
     assert langid.learn(none) is None and [r._lang_pred for r in langid.identify(none, None).collect()] == ["und"]
     assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_a_language_of_long_texts_only(spark, monkeypatch):
+    random.seed(4)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 50)
+    rows = [(i, _text(lang, 60 if lang == "zz" else 5), lang) for i, lang in enumerate(["xx", "zz"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert model.languages == ["xx", "zz"]
+    assert all(r._lang_pred == r.lang for r in langid.identify(docs, model).collect())
