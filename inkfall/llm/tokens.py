@@ -136,14 +136,28 @@ class ByteEncoder(Encoder):
         return head + (self._part(rest) if rest else b"")
 
 
+#: What a short cut must encode as the library does before it is used.
+_PROBES = ["", " ", "a b", "a  b\n\nc ", "Don't STOP, it's 12,345.6!", "\tÉtée naïve\u3000東京 x\x0by", "e\u0301 \U0001f600\u00a0z", "(<|endoftext|>)"]
+
 _encoders: dict[str, Encoder] = {}
 
 
+class WholeEncoder(Encoder):
+    """For any other tokenizer: the library's encoding of the whole text."""
+
+    def ids(self, data: bytes) -> bytes:
+        return self._whole(data.decode())
+
+
 def encoder(path: str) -> Encoder:
-    """This process's encoder for a tokenizer file."""
-    found = _encoders.get(path)
-    if found is None:
-        probe = Tokenizer.from_file(path)
-        spaced = probe.encode("a b", add_special_tokens=False).ids != probe.encode("a  b", add_special_tokens=False).ids
-        found = _encoders[path] = ByteEncoder(path) if spaced else WordEncoder(path)
-    return found
+    """This process's encoder for a tokenizer file: a short cut that agrees with the library on _PROBES, or the library."""
+    if path not in _encoders:
+        whole = WholeEncoder(path)
+        for short in (ByteEncoder, WordEncoder):
+            some = short(path)
+            if all(some.ids(p.encode()) == whole.ids(p.encode()) for p in _PROBES):
+                break
+        else:
+            some = whole
+        _encoders[path] = some
+    return _encoders[path]
