@@ -234,14 +234,13 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str
     return rows.join(label, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), digits, "component_id")
 
 
-#: Fingerprints of independent seeds that the pipeline's stage takes, and values of a sketch.
-SEEDS, SKETCH = 2, 128
+#: Fingerprints of independent seeds that the pipeline's stage takes.
+SEEDS = 2
 #: Keys of a text, each of the least hashes under BAND_ROWS orders of its shingles: two texts of a
 #: similarity of 0.8 have some key in common but for 1 - (1 - 0.8^7)^40, less than once in 10,000.
 BANDS, BAND_ROWS = 40, 7
-#: A pair goes to the exact test unless its sketches fall short of the similarity by more than this,
-#: which a pair that has the similarity does less than once in 10^12 times.
-SLACK = 0.3
+#: Bits of the parities of a set of shingles; see parities().
+PARITIES = 1024
 
 _ODD = (np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
@@ -272,34 +271,45 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """For each of PARITIES residues whether an odd number of the hashes has it.
+
+    Two sets differ in at least as many shingles as their parities do in bits.
+    """
+    counts = np.bincount((reseeded(shingles, 99) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits(counts & 1).tobytes()
+
+
+def _able(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of sets of sizes n and m and parities a and b may have the similarity; none that has it is left out."""
+    apart = (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    able = np.abs(n - m) <= apart
+    able[able] = np.bitwise_count(a[able] ^ b[able]).sum(axis=1) <= apart[able]
+    return able
+
+
+def _words64(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), PARITIES // 64)
+
+
 def _sketched(docs: DataFrame, size: int, seeds: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, fps, sketch, bands) of each row: distinct shingles, fingerprints, least hashes, keys."""
+    """(id, n, fps, bands, bits) of each row: distinct shingles, fingerprints, keys, parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, fps, sketches, bands = [], [], [], []
+            ns, fps, bands, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, size)
                 fps.append([_signed(fingerprint(reseeded(hashes, k))) for k in range(seeds)])
                 distinct = np.unique(hashes)
                 ns.append(len(distinct))
-                sketches.append(np.sort(reseeded(distinct, 99))[:SKETCH].view(np.int64))
                 bands.append(band_keys(distinct).view(np.int64))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, sketches, bands)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), *lists], names=["id", "n", "fps", "sketch", "bands"])
+                bits.append(parities(distinct))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, bands)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), *lists, pa.array(bits, pa.binary())], names=["id", "n", "fps", "bands", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(run, f"id {kind}, n int, fps array<long>, sketch array<long>, bands array<long>")
-
-
-def _similarity(a: Iterator[list[int]], b: Iterator[list[int]]) -> list[float]:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        one, two = set(x), set(y)
-        # Unsigned order decides which hashes are the least of the union.
-        union = sorted(one | two, key=lambda v: v & 0xFFFFFFFFFFFFFFFF)[:SKETCH]
-        out.append(sum(v in one and v in two for v in union) / len(union) if union else 1.0)
-    return out
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(run, f"id {kind}, n int, fps array<long>, bands array<long>, bits binary")
 
 
 def _jaccard(a: bytes, b: bytes) -> float:
@@ -310,31 +320,33 @@ def _jaccard(a: bytes, b: bytes) -> float:
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (id, other) whose full shingle sets have the similarity; sketches rule out most others."""
+    """The pairs (id, other) whose full shingle sets have the similarity; parities rule out most others."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def kept(score, least: float):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = score(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-                yield batch.select([0, 1]).filter(pa.array([x >= least for x in found], pa.bool_()))
+    def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 4))
+            yield batch.select([0, 1]).filter(pa.array(_able(n, m, _words64(batch.column(3)), _words64(batch.column(5)), similarity), pa.bool_()))
 
-        return run
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_jaccard(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
 
-    def met(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        one = table.select(F.col("id").alias("_i"), F.col(column).alias("_a"))
-        two = table.select(F.col("id").alias("_j"), F.col(column).alias("_b"))
-        return pairs.join(one, F.col("id") == F.col("_i")).join(two, F.col("other") == F.col("_j")).select("id", "other", "_a", "_b")
+    def met(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        one = table.select(F.col("id").alias("_i"), *[F.col(c).alias(f"_a{c}") for c in columns])
+        two = table.select(F.col("id").alias("_j"), *[F.col(c).alias(f"_b{c}") for c in columns])
+        found = pairs.join(one, F.col("id") == F.col("_i")).join(two, F.col("other") == F.col("_j"))
+        return found.select("id", "other", *[f"_a{c}" for c in columns], *[f"_b{c}" for c in columns])
 
-    likely = written(met(pairs, rows, "sketch").mapInArrow(kept(_similarity, similarity - SLACK), f"id {kind}, other {kind}"), "near-likely")
+    likely = written(met(pairs, rows, "n", "bits").mapInArrow(able, f"id {kind}, other {kind}"), "near-likely")
     ids = likely.select(F.col("id").alias("_id")).union(likely.select("other")).distinct()
     sets = written(_sets(docs.join(ids, F.col(id_col) == F.col("_id"), "left_semi"), size, id_col, text_col), "near-sets")
-    exact = lambda a, b: [_jaccard(x, y) for x, y in zip(a, b, strict=True)]
-    return written(met(likely, sets, "shingles").mapInArrow(kept(exact, similarity), f"id {kind}, other {kind}"), "near-confirmed")
+    return written(met(likely, sets, "shingles").mapInArrow(alike, f"id {kind}, other {kind}"), "near-confirmed")
 
 
 def _key_pairs(similarity: float, kind: pa.DataType):
-    """Pairs of rows (key, n, part, id), sorted, of one key and not of one part, but for sizes that rule them out."""
+    """Pairs of rows (key, n, part, id, bits), sorted, of one key and not of one part that may have the similarity."""
 
     def out(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids[i], kind), pa.array(ids[j], kind)], names=["id", "other"])
@@ -343,12 +355,13 @@ def _key_pairs(similarity: float, kind: pa.DataType):
         rest = None
         for batch in _and_none(batches):
             if batch is not None:
-                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]] + [_words64(batch.column(4))]
+                new[1] = new[1].astype(np.int64)
                 rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
             if rest is None or not len(rest[0]):
                 continue
             end = np.searchsorted(rest[0], rest[0][-1]) if batch is not None else len(rest[0])
-            key, n, part, ids = (x[:end] for x in rest)
+            key, n, part, ids, bits = (x[:end] for x in rest)
             rest = [x[end:] for x in rest]  # the last key may go on in the next batch
             if not end:
                 continue
@@ -360,8 +373,10 @@ def _key_pairs(similarity: float, kind: pa.DataType):
             j = later[i]
             some: list[tuple[np.ndarray, np.ndarray]] = []
             while len(i):
-                able = np.minimum(n[i], n[j]) >= (similarity - 1e-6) * np.maximum(n[i], n[j])
-                some.append((i[able], j[able]))
+                for low in range(0, len(i), 50_000):
+                    x, y = i[low : low + 50_000], j[low : low + 50_000]
+                    able = _able(n[x], n[y], bits[x], bits[y], similarity)
+                    some.append((x[able], y[able]))
                 if sum(len(x) for x, _ in some) > 100_000:
                     yield out(ids, *map(np.concatenate, zip(*some, strict=True)))
                     some = []
@@ -392,16 +407,18 @@ def near_copies(docs: DataFrame, size: int = 5, radius: int = 4, seeds: int = SE
     same = marks.join(first, (F.col("seed") == F.col("_s")) & (F.col("fp") == F.col("_f"))).where("id != other").select("id", "other")
     left = edges.join(first.withColumnRenamed("other", "id"), (F.col("seed") == F.col("_s")) & (F.col("a") == F.col("_f"))).select("seed", "b", "id")
     cross = left.join(first, (F.col("seed") == F.col("_s")) & (F.col("b") == F.col("_f"))).where("id != other").select("id", "other")
-    keys = rows.select("id", "n", F.explode("bands").alias("h"))
+    keys = rows.select("id", F.explode("bands").alias("h"))
     shared = keys.groupBy(F.col("h").alias("_h")).agg(F.min("id").alias("other"), F.max("id").alias("most")).where("other != most").drop("most")
-    held = written(keys.join(shared, F.col("h") == F.col("_h")).select("id", "n", "h", "other"), "near-keys")
+    held = written(keys.join(shared, F.col("h") == F.col("_h")).select("id", "h", "other"), "near-keys")
     stars = held.where("id != other").select("id", "other")
     pairs = written(same.union(cross).union(stars).distinct(), "near-pairs")
     near = _confirmed(pairs, rows, docs, size, similarity, id_col, text_col)
     parts = written(components(near, "id", "other").distinct(), "near-parts")
-    held = written(held.join(parts, F.col("id") == F.col("node"), "left").select("h", "n", F.coalesce("root", "id").alias("part"), "id"), "near-held")
+    held = held.join(parts, F.col("id") == F.col("node"), "left").select("h", F.coalesce("root", "id").alias("part"), "id")
+    held = written(held, "near-held")
     mixed = held.groupBy(F.col("h").alias("_h")).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("_h")
-    dealt = held.join(mixed, F.col("h") == F.col("_h"), "left_semi").repartition(max(partitions(docs.sparkSession), 1), "h").sortWithinPartitions("h", "part", "id")
+    asked = held.join(mixed, F.col("h") == F.col("_h"), "left_semi").join(rows.select(F.col("id").alias("_id"), "n", "bits"), F.col("id") == F.col("_id"))
+    dealt = asked.select("h", "n", "part", "id", "bits").repartition(max(partitions(docs.sparkSession), 1), "h").sortWithinPartitions("h", "part", "id")
     met = dealt.mapInArrow(_key_pairs(similarity, to_arrow_type(docs.schema[id_col].dataType)), f"id {kind}, other {kind}").where("id != other").distinct()
     more = _confirmed(written(met, "near-met"), rows, docs, size, similarity, id_col, text_col)
     return components(near.union(more), "id", "other")

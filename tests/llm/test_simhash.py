@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from inkfall.llm import simhash
@@ -151,3 +152,14 @@ def test_no_pair_is_lost_for_its_links(spark):
     root = _least_of_near(rows)
     found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), radius=0, seeds=1)
     assert {i: r for i, r in found.collect() if i != r} == {i: r for i, r in root.items() if i != r} != {}
+
+
+def test_parities_leave_no_pair_out():
+    random.seed(13)
+    for _ in range(400):
+        one = {random.getrandbits(64) for _ in range(random.choice([0, 1, 5, 40, 900]))}
+        two = set(random.sample(sorted(one), len(one) - len(one) // random.choice([4, 8, 10, 30]))) | {random.getrandbits(64) for _ in range(len(one) // random.choice([8, 10, 20, 60]))}
+        a, b = (np.array(sorted(x), np.uint64) for x in (one, two))
+        bits = [np.frombuffer(simhash.parities(x), np.uint64)[None] for x in (a, b)]
+        able = simhash._able(np.array([len(a)]), np.array([len(b)]), *bits, 0.8)[0]
+        assert able or (one | two and len(one & two) / len(one | two) < 0.8)
