@@ -213,6 +213,19 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model
 
 
+def _chunks(texts: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The letters of the texts in order, a chunk of about _CHUNK of them at a time."""
+    some, size = [], 0
+    for text in texts:
+        own = letters(text.as_py() or "")
+        if some and size + len(own) > _CHUNK:
+            yield some
+            some, size = [], 0
+        some.append(own)
+        size += len(own)
+    yield some
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1) and rejected, each after an underscore."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -223,16 +236,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
         model = sent.value
         for batch in batches:
             pred, score, rejected = [], [], []
-            texts = [letters(t or "") for t in batch.column(position).to_pylist()]
-            first = 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last]) <= _CHUNK):
-                    size += len(texts[last])
-                    last += 1
-                entropy = model.entropies(texts[first:last]) if model else None
-                for i in range(last - first):
-                    count = len(texts[first + i])
+            for texts in _chunks(batch.column(position)):
+                entropy = model.entropies(texts) if model else None
+                for i, text in enumerate(texts):
+                    count = len(text)
                     if entropy is None or not count:
                         pred.append("und")
                         score.append(0.0)
@@ -243,7 +250,6 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                     pred.append(model.languages[best])
                     score.append(float(1 / np.exp(-gaps).sum()))
                     rejected.append(bool(entropy[i][best] > model.bound[best]))
-                first = last
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], schema=pa.schema([*(pa.field(f"c{k}", batch.schema.field(k).type) for k in range(n)), ("_lang_pred", pa.string()), ("_score", pa.float64()), ("_rejected", pa.bool_())]))
 
     schema = T.StructType([*(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)), T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())])
