@@ -16,10 +16,12 @@ text. Other columns are not read by the statistics and are kept by sanitise().
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import BROADCAST_BYTES, plain, text_of, written
 
 #: Kinds and their patterns. Possessive quantifiers and the conditions before a match keep the
 #: leftmost matches of the plain patterns without trying each place of a long run again.
@@ -34,6 +36,8 @@ PATTERNS = {
 _TRIGGER = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 
 SUPPORT, GENERALISE, REMOVE = 5, 0.9, 0.98
+#: Terms up to which they are looked up within a row.
+INLINE_TERMS = 10_000
 #: Code points before and after an entity that are searched for terms.
 REACH = 80
 _TERM = r"\p{L}{4,}"
@@ -89,12 +93,23 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
+def _key(text: Column) -> Column:
+    """128 bits of the text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _sent(terms: DataFrame) -> DataFrame:
+    """A written table of terms, to be sent to every executor only if it is small."""
+    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0]
+    return F.broadcast(terms) if (size or 0) <= BROADCAST_BYTES else terms
+
+
 def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(term, action): terms whose co-occurrence in all of docs gives some entity away."""
-    texts = docs.select(text_of(text_col).alias("text")).select("text", F.xxhash64("text").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    texts = docs.select(text_of(text_col).alias("text")).select("text", _key(F.col("text")).alias("doc"), F.monotonically_increasing_id().alias("row"))
     spans = texts.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0).select("text", "doc", "row", F.explode("spans").alias("s"))
     entity = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    key = F.xxhash64("s.kind", F.when(F.col("s.kind") == "email", F.lower(entity)).when(F.col("s.kind") == "ip", entity).otherwise(_digits(entity)))
+    key = F.concat_ws(":", "s.kind", F.when(F.col("s.kind") == "email", F.lower(entity)).when(F.col("s.kind") == "ip", entity).otherwise(_digits(entity)))
     first = F.greatest(F.col("s.start") - REACH, F.lit(0))
     before = F.substring(F.col("text"), first + 1, F.col("s.start") - first)
     before = F.when(first > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
@@ -106,9 +121,10 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
         return pairs.select("term", F.lit("").alias("action"))
     entities = near.select(F.col("entity").alias("e"), "row").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     n = docs.count()
-    counts = texts.select(F.explode(_words(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    wanted = pairs.select("term").distinct()
-    counts = written(counts.join(wanted, F.col("t") == F.col("term")).select("t", "n_t"), "pii-counts")
+    # Only the terms in question are counted: they meet the words before these are grouped.
+    wanted = written(pairs.select("term").distinct(), "pii-wanted")
+    words = texts.select(F.explode(_words(F.col("text"))).alias("t"))
+    counts = written(words.join(_sent(wanted), F.col("t") == F.col("term"), "left_semi").groupBy("t").agg(F.count("*").alias("n_t")), "pii-counts")
     shares = pairs.join(entities, F.col("entity") == F.col("e")).join(counts, F.col("term") == F.col("t"))
     content = F.log(F.lit(n) / F.col("n_e"))
     share = F.when(content > 0, F.log(F.col("n_et") * F.lit(n) / (F.col("n_e") * F.col("n_t"))) / content).otherwise(0.0)
@@ -116,15 +132,15 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
     return written(strongest.select("term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")), "pii-terms")
 
 
-def _term_spans(text: Column, terms: Column) -> Column:
-    """Spans of whole words that are among the terms."""
+def _term_spans(text: Column, action_of: Callable[[Column], Column]) -> Column:
+    """Spans of whole words that have an action."""
     matches = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
     none = F.expr(f"cast(array() as {_SPANS})")
 
     def walk(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["match"])
-        action = F.element_at(terms, F.lower(pair["match"]))
+        action = action_of(F.lower(pair["match"]))
         span = F.struct(F.concat(F.lit("term-"), action).alias("kind"), start.alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(action.isNotNull(), F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
@@ -132,18 +148,38 @@ def _term_spans(text: Column, terms: Column) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), walk, lambda s: s["spans"])
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", base_col: str = "pii_base", spans_col: str = "pii_spans", **thresholds) -> DataFrame:
-    """docs with their base spans and with all spans, those of disclosing terms after the base."""
-    terms = disclosing_terms(docs, text_col, **thresholds)
-    found = docs.withColumn(base_col, base_spans(text_of(text_col)))
-    if terms.isEmpty():
-        return found.withColumn(spans_col, F.col(base_col))
-    words = docs.select(F.xxhash64(text_of(text_col)).alias("_doc"), F.explode(_words(text_of(text_col))).alias("_word")).distinct()
-    held = words.join(terms, F.col("_word") == F.col("term")).groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_terms"))
-    held = written(held, "pii-held")
-    joined = found.withColumn("_key", F.xxhash64(text_of(text_col))).join(held, F.col("_key") == F.col("_doc"), "left")
-    more = F.when(F.col("_terms").isNotNull(), _term_spans(text_of(text_col), F.col("_terms"))).otherwise(F.expr(f"cast(array() as {_SPANS})"))
-    return joined.withColumn(spans_col, F.concat(base_col, more)).drop("_key", "_doc", "_terms")
+def find_pii(docs: DataFrame, text_col: str = "text", base_col: str = "pii_base", spans_col: str = "pii_spans", inline_terms: int = INLINE_TERMS, **thresholds) -> DataFrame:
+    """docs with their base spans and with all spans, those of disclosing terms after the base.
+
+    Up to `inline_terms` terms are looked up in a set within each row; more meet the words of each
+    different text in a join, and the texts that hold some meet these by their hash.
+    """
+    own, (name,) = plain(docs, text_col)
+    text = text_of(name)
+    terms = disclosing_terms(own, name, **thresholds)
+    found = own.withColumn("base", base_spans(text))
+    some = terms.limit(inline_terms + 1).collect()
+    if not some:
+        found = found.withColumn("spans", F.col("base"))
+    elif len(some) <= inline_terms:
+        by = {action: [r.term for r in some if r.action == action] for action in ("remove", "generalise")}
+
+        def action_of(word: Column) -> Column:
+            action = F.lit(None).cast("string")
+            for name, words in by.items():
+                action = F.when(word.isin(words), F.lit(name)).otherwise(action) if words else action
+            return action
+
+        holds = F.exists(_words(text), lambda w: w.isin([r.term for r in some]))
+        found = found.withColumn("spans", F.concat("base", F.when(holds, _term_spans(text, action_of)).otherwise(F.expr(f"cast(array() as {_SPANS})"))))
+    else:
+        words = own.select(_key(text).alias("doc"), F.explode(_words(text)).alias("word"))
+        held = words.join(_sent(terms), F.col("word") == F.col("term")).groupBy("doc").agg(F.collect_set(F.struct("term", "action")).alias("held"))
+        held = written(held.select("doc", F.map_from_entries("held").alias("held")), "pii-held")
+        joined = found.withColumn("key", _key(text)).join(held, F.col("key") == F.col("doc"), "left")
+        more = F.when(F.col("held").isNotNull(), _term_spans(text, lambda w: F.element_at("held", w))).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+        found = joined.withColumn("spans", F.concat("base", more))
+    return found.select(*own.columns, "base", "spans").toDF(*docs.columns, base_col, spans_col)
 
 
 def span_list(spans: str) -> Column:
@@ -155,9 +191,10 @@ def sanitise(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame
 
     Of spans that overlap, the first and of those the longest is replaced.
     """
-    found = find_pii(docs, text_col, "_pii_base", "_pii_spans", **thresholds)
-    order = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-    text = text_of(text_col)
+    own, (name,) = plain(docs, text_col)
+    found = find_pii(own, name, "base", "spans", **thresholds)
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+    text = text_of(name)
 
     def walk(state: Column, s: Column) -> Column:
         mark = F.when(s["kind"] == "term-remove", "").when(s["kind"] == "term-generalise", "[term]").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
@@ -167,5 +204,4 @@ def sanitise(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
     whole = F.aggregate(order, start, walk, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    names = [F.col(f"`{c}`") if c != text_col else F.when(F.col(text_col).isNotNull(), whole).alias(text_col) for c in docs.columns]
-    return found.select(*names)
+    return found.select(*[c if c != name else F.when(F.col(name).isNotNull(), whole).alias(name) for c in own.columns]).toDF(*docs.columns)

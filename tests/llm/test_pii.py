@@ -89,3 +89,15 @@ def test_disclosing_terms(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(docs).count() == 0 and pii.sanitise(docs).count() == 0
+
+
+def test_many_terms_and_free_names(spark):
+    names = ["base", "spans", "key", "doc", "held", "word", "term", "c0", "pii_base"]
+    texts = [f"filler words number {k % 7}" for k in range(60)] + [f"Zebulon wrote from boss@corp.example on day {k}" for k in range(8)]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], ["doc_id", "text", *names])
+    within, joined = pii.find_pii(docs, base_col="found_base"), pii.find_pii(docs, base_col="found_base", inline_terms=0)
+    assert within.columns == joined.columns == [*docs.columns, "found_base", "pii_spans"]
+    rows = sorted(within.collect())
+    assert rows == sorted(joined.collect()) and any(s.kind.startswith("term") for r in rows for s in r.pii_spans)
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
