@@ -120,15 +120,22 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
     if pairs.isEmpty():
         return pairs.select("term", F.lit("").alias("action"))
     entities = near.select(F.col("entity").alias("e"), "row").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+    around = near.select("row", F.explode("terms").alias("a")).distinct().groupBy("a").agg(F.count("*").alias("n_near"))
     n = docs.count()
-    # Only the terms in question are counted: they meet the words before these are grouped.
-    wanted = written(pairs.select("term").distinct(), "pii-wanted")
+    content = F.log(F.lit(n) / F.col("n_e"))
+
+    def share(n_t: str) -> Column:
+        return F.when(content > 0, F.log(F.col("n_et") * F.lit(n) / (F.col("n_e") * F.col(n_t))) / content).otherwise(0.0)
+
+    # A term stands in as many documents at least as it does near entities, which bounds its share. Only
+    # the terms that this leaves are counted: they meet the words before these are grouped.
+    open_ = pairs.join(entities, F.col("entity") == F.col("e")).join(around, F.col("term") == F.col("a")).where(share("n_near") >= generalise)
+    open_ = written(open_.select("term", "n_et", "n_e", "n_near"), "pii-open")
+    wanted = written(open_.select("term").distinct(), "pii-wanted")
     words = texts.select(F.explode(_words(F.col("text"))).alias("t"))
     counts = written(words.join(_sent(wanted), F.col("t") == F.col("term"), "left_semi").groupBy("t").agg(F.count("*").alias("n_t")), "pii-counts")
-    shares = pairs.join(entities, F.col("entity") == F.col("e")).join(counts, F.col("term") == F.col("t"))
-    content = F.log(F.lit(n) / F.col("n_e"))
-    share = F.when(content > 0, F.log(F.col("n_et") * F.lit(n) / (F.col("n_e") * F.col("n_t"))) / content).otherwise(0.0)
-    strongest = shares.groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= generalise)
+    shares = open_.join(counts, F.col("term") == F.col("t")).withColumn("share", F.least(share("n_t"), share("n_near")))
+    strongest = shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise)
     return written(strongest.select("term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")), "pii-terms")
 
 
