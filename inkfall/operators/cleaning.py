@@ -50,7 +50,7 @@ PII_RULES = [
     ("固定电话", r"(?U)(?<!\d)(?:(0\d{2}-)\d{3,4}|(0\d{3})(?:-\d{3,4}|\d{2,4}))(\d{4})(?!\d)", "$1$2****$3"),
     ("邮箱", r"(?U)\b([\w.-])[\w.-]*@([\w.-]+\.\w{2,4})\b", "$1***@$2"),
     ("身份证号", r"(?U)(?<!\d)(\d{6})\d{8}(\d{3}[\dXx])(?!\d)", "$1********$2"),
-    ("姓名", rf"(?<={SPACE})([\x{{4e00}}-\x{{9fff}}])[\x{{4e00}}-\x{{9fff}}]{{1,3}}(?={SPACE})", "$1XX"),
+    ("中文姓名", rf"(?<={SPACE})([\x{{4e00}}-\x{{9fff}}])[\x{{4e00}}-\x{{9fff}}]{{1,3}}(?={SPACE})", "$1XX"),
 ]
 
 
@@ -67,11 +67,12 @@ class CleaningConfig:
     custom_filter_rules: tuple = field(default_factory=tuple)
     encoding_fixer: Callable[[str], str] | None = None
     entity_masker: Callable[[str], tuple[str, int]] | None = None
+    custom_cleaners: tuple = field(default_factory=tuple)
 
 
 def _change(stage: str, op: str | Column, detail: Column | str, *, when: Column, pii_type: str | None = None, rule: str | None = None, count: Column | None = None) -> Column:
     text = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
-    row = F.struct(F.lit(STAGES[stage]).alias("stage"), text(op).alias("op"), text(detail).alias("detail"), text(pii_type).alias("pii_type"), text(rule).alias("rule"), (F.lit(None) if count is None else count).cast("int").alias("count"))
+    row = F.struct(F.lit(STAGES.get(stage, stage)).alias("stage"), text(op).alias("op"), text(detail).alias("detail"), text(pii_type).alias("pii_type"), text(rule).alias("rule"), (F.lit(None) if count is None else count).cast("int").alias("count"))
     return F.when(when, F.array(row)).otherwise(F.array()).cast(f"array<{CHANGE}>")
 
 
@@ -202,7 +203,7 @@ def _filter(df: DataFrame, config: CleaningConfig, step: Callable) -> DataFrame:
 
 _STEPS = {"enable_heuristic": ("heuristic", _heuristic), "enable_layout": ("layout", _layout), "enable_pii": ("pii", _pii), "enable_semantic_filter": ("filter", _filter)}
 
-#: Name -> expression; a cleaner of one's own is added here and listed in custom_cleaners.
+#: Name -> expression; a cleaner of one's own is added here and named in CleaningConfig.custom_cleaners, which run last.
 CLEANERS: dict[str, Callable[[Column], Column]] = {"decode_escapes": decode_escapes, "whitespace": normalise_whitespace, "pii": mask_pii, "filter": filter_lines}
 
 
@@ -219,6 +220,8 @@ def clean(df: DataFrame, config: CleaningConfig | None = None, text_col: str = "
     out = df.withColumn("_text", F.col(text_col)).withColumn("_changes", F.array().cast(f"array<{CHANGE}>"))
     for _, _, run in used:
         out = run(out, config, step)
+    for name in config.custom_cleaners:
+        out = step(out, CLEANERS[name](F.col("_text")), _change("custom", name, f"执行了自定义清洗器 {name}", when=F.col("_new") != F.col("_text")))
     changes = F.when(whole, F.col("_changes")).otherwise(F.array().cast(f"array<{CHANGE}>"))
     of = lambda name: F.filter("changes", lambda c: c["stage"] == STAGES[name])
     types = F.filter(F.transform("changes", lambda c: c["pii_type"]), lambda t: t.isNotNull())
@@ -234,8 +237,18 @@ def clean(df: DataFrame, config: CleaningConfig | None = None, text_col: str = "
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "cleaned_text", "cleaned", "changes", "metadata")
 
 
+def cleaned_texts(df: DataFrame, config: CleaningConfig | None, text_col: str = "text") -> DataFrame:
+    """df with its text cleaned by all that the configuration asks for; None leaves it."""
+    if config is None:
+        return df
+    if config.encoding_fixer is None and not (config.enable_pii and config.use_presidio and config.entity_masker):
+        return df.withColumn(text_col, cleaned_column(df[text_col], config))
+    names = [F.col("cleaned_text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    return clean(df, config, text_col).select(*names)
+
+
 def cleaned_column(text: Column, config: CleaningConfig | None) -> Column:
-    """The cleaned text alone, as one expression; None leaves the text."""
+    """The cleaned text alone, as one expression without the functions of a configuration; None leaves the text."""
     if config is None:
         return text
     out = text
@@ -245,4 +258,6 @@ def cleaned_column(text: Column, config: CleaningConfig | None) -> Column:
         out = mask_pii(out)
     if config.enable_semantic_filter:
         out = filter_lines(out, config.custom_filter_rules)
+    for name in config.custom_cleaners:
+        out = CLEANERS[name](out)
     return F.when(text == "", text).otherwise(out)

@@ -49,7 +49,16 @@ class Element:
 
     def same(self) -> tuple:
         """What two elements with equal names, attributes and content share."""
-        return (self.name, tuple(sorted(self.attrs.items())), tuple(c if isinstance(c, str) else c.same() for c in self.children))
+        told: list = []
+        stack: list = [self]
+        while stack:
+            part = stack.pop()
+            if isinstance(part, Element):
+                told.append((part.name, tuple(sorted(part.attrs.items())), len(part.children)))
+                stack.extend(reversed(part.children))
+            else:
+                told.append(part)
+        return tuple(told)
 
 
 class _Builder(HTMLParser):
@@ -87,19 +96,19 @@ def parse(text: str) -> Element:
 
 def cell_text(cell: Element) -> str:
     """A cell's text: images by their address, line breaks as commas, a space after paragraphs."""
-
-    def parts(element: Element) -> Iterator[str]:
-        for child in element.children:
-            if isinstance(child, str):
-                yield child
-            elif child.name == "img" and child.attrs.get("src"):
-                alt, src = child.attrs.get("alt"), child.attrs["src"]
-                yield f"[图片: {alt}({src})]" if alt else f"[图片: {src}]"
-            elif child.name == "br":
-                yield "，"
-            elif child.name not in SILENT:
-                yield from parts(child)
-                if child.name == "p":
-                    yield " "
-
-    return re.sub(r"\s+", " ", "".join(parts(cell)).strip())
+    told: list[str] = []
+    stack = list(reversed(cell.children))
+    while stack:
+        child = stack.pop()
+        if isinstance(child, str):
+            told.append(child)
+        elif child.name == "img" and child.attrs.get("src"):
+            alt, src = child.attrs.get("alt"), child.attrs["src"]
+            told.append(f"[图片: {alt}({src})]" if alt else f"[图片: {src}]")
+        elif child.name == "br":
+            told.append("，")
+        elif child.name not in SILENT:
+            if child.name == "p":
+                stack.append(" ")
+            stack.extend(reversed(child.children))
+    return re.sub(r"\s+", " ", "".join(told).strip())

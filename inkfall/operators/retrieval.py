@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -73,8 +74,20 @@ def health_check(provider: Callable[[list[str]], list[list[float]]]) -> tuple[bo
         return False, str(error)
 
 
-# What the text of an error says about its kind.
-_ERRORS = [("auth", ("401", "unauthorized", "api key")), ("not_found", ("404", "not found", "model")), ("timeout", ("timeout", "timed out")), ("connection", ("connect", "refused", "network"))]
+def _kind_of(error: str) -> str:
+    """The kind of a provider's error, by what its text says; the first that fits."""
+    low = error.lower()
+    if "401" in error or "unauthorized" in low:
+        return "auth"
+    if "connect" in low:
+        return "connection"
+    if "rate" in low or "quota" in low:
+        return "rate_limit"
+    if "model" in low and "not found" in low:
+        return "not_found"
+    if "400" in error and "input" in low:
+        return "bad_request"
+    return "unknown"
 
 
 def test_embedding(provider: Callable[[list[str]], list[list[float]]], text: str = "ping") -> dict:
@@ -82,8 +95,7 @@ def test_embedding(provider: Callable[[list[str]], list[list[float]]], text: str
     try:
         vector = provider([text])[0]
     except Exception as error:
-        said = str(error).lower()
-        return {"success": False, "error": next((k for k, words in _ERRORS if any(w in said for w in words)), "unknown"), "message": str(error)}
+        return {"success": False, "error": _kind_of(str(error)), "message": str(error)[:200]}
     shown = [f"{x:.4f}" for x in vector]
     return {"success": True, "dim": len(vector), "preview": f"[{shown[0]}, {shown[1]}, ..., {shown[-1]}]" if len(shown) > 2 else f"[{', '.join(shown)}]"}
 
@@ -92,7 +104,8 @@ def search(chunks: DataFrame, query: list[float], top_k: int = 10, filters: dict
     """The top_k chunks by cosine similarity, ties by id: text up to 500 characters, score to 4 places."""
     if not 1 <= top_k <= 100:
         raise ValueError("top_k must be from 1 to 100")
-    near = chunks.where(metadata_filter(filters)) if filters else chunks
+    near = chunks.where(F.col(vector_col).isNotNull())
+    near = near.where(metadata_filter(filters)) if filters else near
     literal = F.array(*[F.lit(float(x)) for x in query])
     best = near.withColumn("_score", cosine(F.col(vector_col), literal)).orderBy(F.desc("_score"), id_col).limit(top_k)
     shown = [F.substring("text", 1, 500).alias("text")] if "text" in chunks.columns else []
@@ -101,5 +114,18 @@ def search(chunks: DataFrame, query: list[float], top_k: int = 10, filters: dict
     return best.select(F.col(id_col).cast("string").alias("chunk_id"), *owner, *shown, *meta, F.round("_score", 4).alias("score"))
 
 
+def embed_query(provider: Callable[[list[str]], list[list[float]]], query: str) -> list[float]:
+    """The vector of a query, which the provider gets after QUERY_PREFIX; empty if it gives none."""
+    found = provider([QUERY_PREFIX + query])
+    return list(found[0]) if found else []
+
+
+def retrieve(chunks: DataFrame, query: str, provider: Callable[[list[str]], list[list[float]]], top_k: int = 10, filters: dict | None = None, vector_col: str = "vector", id_col: str = "chunk_id") -> dict:
+    """The query, total_results and results, of which there are top_k (100 at most)."""
+    found = search(chunks, embed_query(provider, query), top_k, filters, vector_col, id_col).collect()
+    results = [r.asDict() | ({"metadata": json.loads(r.metadata)} if "metadata" in r else {}) for r in found]
+    return {"query": query, "total_results": len(results), "results": results}
+
+
 def score_band(score: Column) -> Column:
     return F.when(score >= 0.7, "high").when(score >= 0.5, "good").when(score >= 0.3, "fair").otherwise("low")

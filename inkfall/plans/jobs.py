@@ -1,17 +1,19 @@
 """Chunk jobs: ids that a repeated run gives again, and tables with the job written last.
 
-A reader counts only chunks whose job is there, so a run that broke off leaves nothing visible and
-a run that is repeated overwrites its own partition.
+Each execution is a run with a partition of its own; a run that is named again overwrites that
+partition. A reader counts only chunks whose job is there, so a run that broke off leaves nothing
+visible, and of a job that several runs hold, as of a document chunked twice, those of the last run.
 """
 
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfall.operators.cleaning import CleaningConfig
+from inkfall.operators.cleaning import CleaningConfig, cleaned_texts
 from inkfall.operators.preview import preview_chunks, source_preview
 from inkfall.plans.registry import chunk
 
@@ -39,9 +41,10 @@ def job_rows(chunks: DataFrame, strategy: str, params: dict | None = None, id_co
     return counts.select("job_id", id_col, F.lit(strategy).alias("strategy_name"), F.lit(told).alias("params"), "total_chunks", F.lit("completed").alias("status"))
 
 
-def execute(docs: DataFrame, strategy: str, params: dict | None, out: str, *, embed=None, cleaning: CleaningConfig | None = None, id_col: str = "doc_id", text_col: str = "text", run: str = "run") -> DataFrame:
-    """Chunk, store `chunks` and then `chunk_jobs` under out, and return the jobs."""
+def execute(docs: DataFrame, strategy: str, params: dict | None, out: str, *, embed=None, cleaning: CleaningConfig | None = None, id_col: str = "doc_id", text_col: str = "text", run: str | None = None) -> DataFrame:
+    """Chunk, store `chunks` and then `chunk_jobs` under out, and return the jobs. Runs are named by their time."""
     spark = docs.sparkSession
+    run = run or f"t{time.time_ns():020d}"
     chunks = with_ids(chunk(docs, strategy, params, embed=embed, cleaning=cleaning, id_col=id_col, text_col=text_col), strategy, params, id_col)
     place = f"strategy_name={strategy}/run={run}"
     chunks.write.mode("overwrite").parquet(f"{out}/chunks/{place}")
@@ -52,13 +55,12 @@ def execute(docs: DataFrame, strategy: str, params: dict | None, out: str, *, em
 
 def stored_chunks(spark, out: str) -> DataFrame:
     """Chunks whose job is complete."""
-    return spark.read.parquet(f"{out}/chunks").join(spark.read.parquet(f"{out}/chunk_jobs").select("job_id"), "job_id", "left_semi")
+    last = spark.read.parquet(f"{out}/chunk_jobs").groupBy("job_id").agg(F.max("run").alias("run"))
+    return spark.read.parquet(f"{out}/chunks").join(last, ["job_id", "run"], "left_semi")
 
 
 def preview(docs: DataFrame, strategy: str, params: dict | None = None, limit: int = 10, *, embed=None, cleaning: CleaningConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The first chunks of each document with their total, and the text that they cover."""
-    from inkfall.operators.cleaning import cleaned_column
-
-    cleaned = docs.withColumn(text_col, cleaned_column(docs[text_col], cleaning))
+    cleaned = cleaned_texts(docs, cleaning, text_col)
     shown = preview_chunks(chunk(cleaned, strategy, params, embed=embed, id_col=id_col, text_col=text_col), limit, id_col)
     return shown, source_preview(cleaned, shown, id_col, text_col)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkfall.operators import markdown, row_tables, score_tables, semantic, splitting
-from inkfall.operators.cleaning import CleaningConfig, cleaned_column
+from inkfall.operators.cleaning import CleaningConfig, cleaned_texts
 
 Strategy = Callable[..., DataFrame]
 
@@ -107,7 +107,7 @@ def chunk(df: DataFrame, strategy: str, params: dict | None = None, *, embed: se
     if strategy not in STRATEGIES:
         raise ValueError(f"未知的分块策略: {strategy}，可选: {list(STRATEGIES)}")
     kept = [c for c in (id_col, "elements") if c in df.columns]
-    docs = df.select(*kept, cleaned_column(df[text_col], cleaning).alias(text_col))
+    docs = cleaned_texts(df.select(*kept, text_col), cleaning, text_col)
     run = STRATEGIES[strategy]
     if strategy in EMBEDDING:
         return run(docs, params, embed, id_col, text_col)

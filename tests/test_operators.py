@@ -3,8 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from inkfall.operators import cleaning, markdown, preview, retrieval, row_tables, score_tables, semantic, splitting
+from inkfall.operators import html, cleaning, markdown, preview, retrieval, row_tables, score_tables, semantic, splitting
 from inkfall.plans import jobs, registry
 
 
@@ -102,8 +103,6 @@ def test_semantic_and_dialogue(spark):
     assert (whole[1].text, whole[1].char_end) == ("no marks here", 13)
 
     def embed(df, column):
-        from pyspark.sql import functions as F
-
         return df.withColumn("vector", F.when(F.col(column).contains("天气"), F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))))
 
     parts = semantic.dialogue(docs.where("doc_id = 1"), embed=embed).orderBy("chunk_index").collect()
@@ -212,3 +211,38 @@ def test_jobs_and_registry(spark, tmp_path):
     elements = spark.createDataFrame([(1, "a table text", [("a table", "table", 1, None, None), ("text", "text", 2, None, None)])], "doc_id int, text string, elements array<struct<text: string, type: string, page_number: int, parser: string, page_range: string>>")
     got = registry.chunk(elements, "pdf_table_layout").orderBy("chunk_index").collect()
     assert [(r.text, r.char_start, r.char_end) for r in got] == [("a table", 0, 7), ("text", 8, 12)] and json.loads(got[0].metadata)["element_type"] == "table"
+
+
+def test_runs_stand_beside_each_other(spark, tmp_path):
+    first, second = (spark.createDataFrame([r], "doc_id int, text string") for r in ((1, "one two"), (2, "three")))
+    for docs in (first, second, second):
+        jobs.execute(docs, "recursive_character", None, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in jobs.stored_chunks(spark, str(tmp_path)).collect()) == [(1, "one two"), (2, "three")]
+
+
+def test_chunks_are_cleaned_by_all_that_is_asked_for(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
+    config = cleaning.CleaningConfig(enable_pii=True, use_presidio=True, encoding_fixer=lambda t: t.replace("a", "é"), entity_masker=lambda t: (t.replace("b", "*"), 1))
+    assert [r.text for r in registry.chunk(docs, "recursive_character", cleaning=config).collect()] == ["é *"]
+    cleaning.CLEANERS["shout"] = lambda c: F.upper(c)
+    own = cleaning.CleaningConfig(custom_cleaners=("shout",))
+    assert [r.text for r in registry.chunk(docs, "recursive_character", cleaning=own).collect()] == ["A B"]
+    done = cleaning.clean(docs, own).first()
+    assert done.cleaned_text == "A B" and done.changes[-1].op == "shout"
+    del cleaning.CLEANERS["shout"]
+
+
+def test_deep_html():
+    deep = html.parse("<td>" + "<b>" * 5000 + "x" + "</b>" * 5000 + "<p>y</p>z</td>").first("td")
+    assert html.cell_text(deep) == "xy z" and deep.same() == deep.same()
+
+
+def test_search_by_text_and_without_vectors(spark):
+    provider = retrieval.hashed_vectors(16)
+    rows = [(1, 7, "query: red fox", '{"a": "b"}', provider(["query: red fox"])[0]), (2, 7, "other", None, provider(["blue sea"])[0]), (3, 7, "none", None, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id int, doc_id int, text string, metadata string, vector array<float>")
+    found = retrieval.retrieve(chunks, "red fox", provider, top_k=5)
+    assert found["query"] == "red fox" and found["total_results"] == 2
+    assert found["results"][0]["chunk_id"] == "1" and found["results"][0]["score"] == 1.0 and found["results"][0]["metadata"] == {"a": "b"} and found["results"][1]["metadata"] == {}
+    said = ["401 x", "connection reset", "rate limit", "model m not found", "400 bad input", "odd"]
+    assert [retrieval._kind_of(e) for e in said] == ["auth", "connection", "rate_limit", "not_found", "bad_request", "unknown"]
