@@ -21,10 +21,12 @@ _own_base: list[str] = []
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only if that is unset."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one if that is unset and Spark runs locally."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_base:
         _own_base.append("file://" + tempfile.mkdtemp(prefix="inkfall-"))
     return _own_base[0]
