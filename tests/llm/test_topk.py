@@ -20,7 +20,31 @@ def test_dual_tree_prunes_and_is_exact():
         score = (data @ queries.vectors[row]).astype(int)
         want = sorted((-s, i) for s, i in zip(score, ids) if i != own)[:5]
         assert list(zip((-search.score[row]).tolist(), search.id[row].tolist())) == want
-    assert search.pairs < len(data) / 16 * len(queries.ids) / 16 / 2
+    assert search.scored + search.bounded < len(data) * len(queries.ids) / 4
+
+
+def test_levels_and_pruning_on_a_table_with_groups_of_near_copies():
+    rng = np.random.default_rng(2)
+    unit = rng.normal(size=(40, 64))
+    unit = np.concatenate([unit.repeat(100, axis=0) + rng.normal(size=(4000, 64)) * 0.05, rng.normal(size=(2000, 64))])
+    data = np.floor(256 * unit / np.linalg.norm(unit, axis=1)[:, None])
+    ids = np.arange(len(data))
+    sample = rng.permutation(len(data))[:1500]
+    tree = topk.CoverTree(data[:2000], ids[:2000])
+    level, depth = tree.root, 0
+    while level is not None:
+        for first, last, radius, below in zip(level.first, level.last, level.radius, level.below):
+            gap = np.linalg.norm(tree.vectors[first:last] - tree.vectors[first], axis=1).max()
+            assert gap <= radius + 1e-6 and (below is None or (below.radius <= radius / 2 + 1e-6).all())
+        level, depth = next((b for b in level.below if b is not None), None), depth + 1
+    assert depth >= 2 and sorted(tree.ids) == list(range(2000))
+    search = topk.Search(topk.CoverTree(data[::50], ids[::50]), 5, (sample, data[sample]))
+    for first in range(0, len(data), 500):
+        search.block(topk.CoverTree(data[first : first + 500], ids[first : first + 500]))
+    for row, own in enumerate(search.queries.ids):
+        score = (data @ search.queries.vectors[row]).astype(int)
+        assert list(zip((-search.score[row]).tolist(), search.id[row].tolist())) == sorted((-s, i) for s, i in zip(score, ids) if i != own)[:5]
+    assert search.scored + search.bounded < 0.75 * len(data) * len(search.queries.ids)
 
 
 def test_top_k(spark):
