@@ -35,7 +35,7 @@ PATTERNS = {
 #: What a text must hold for a pattern to be worth trying.
 _TRIGGER = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 
-SUPPORT, GENERALISE, REMOVE = 5, 0.9, 0.98
+SUPPORT, GENERALISE, REMOVE = 2, 0.9, 0.98
 #: Terms up to which they are looked up within a row.
 INLINE_TERMS = 10_000
 #: Code points before and after an entity that are searched for terms.
