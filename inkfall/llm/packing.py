@@ -70,6 +70,21 @@ class _Lengths:
                 break
         return out
 
+    def largest_pair(self, room: int, but: int) -> int:
+        """The most that two documents of up to room in all hold, without one of length `but`; 0 if none fit."""
+        i, j, most = 0, len(self.sizes) - 1, 0
+        while i <= j:
+            a, b = self.sizes[i], self.sizes[j]
+            if self.count[a] - (a == but) < 1:
+                i += 1
+            elif self.count[b] - (b == but) < 1 or a + b > room:
+                j -= 1
+            else:
+                if i < j or self.count[a] - (a == but) > 1:
+                    most = max(most, a + b)
+                i += 1
+        return most
+
 
 def _dominating(left: _Lengths, large: int, capacity: int) -> list[int] | None:
     """Partners with which a document of this length is as well off as with any others."""
@@ -85,8 +100,7 @@ def _dominating(left: _Lengths, large: int, capacity: int) -> list[int] | None:
     if len(least) == 3 and sum(least) <= room:
         return None
     # At most two partners fit.
-    pair = max((a + b for a in left.sizes if (b := left.without(large).without(a).at_most(min(a, room - a)) if a != large or left.count[a] > 1 else 0)), default=0)
-    if pair <= best:
+    if left.largest_pair(room, large) <= best:
         return [best]
     second = left.without(large).without(best).at_most(room - best)
     if second and second >= left.at_most(room // 2, large):
@@ -110,7 +124,8 @@ def reduced(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[
                     need[size] = need.get(size, 0) + 1
                 times = min(left.count[size] // n for size, n in need.items())
                 if len(partners) == 2:
-                    times = 1  # the proof is for the lengths as they are now
+                    # The proof is for the lengths as they are now, and it looks at four of a length at most.
+                    times = max(1, min((left.count[size] - 4) // n + 1 for size, n in need.items()))
                 for size, n in need.items():
                     left.take(size, times * n)
                 fixed.append(Pattern(times, sorted(need.items(), reverse=True)))

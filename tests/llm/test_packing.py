@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from itertools import combinations_with_replacement
 
@@ -67,6 +68,48 @@ def test_reduction_keeps_the_optimum():
         assert got == counts
 
 
+def _one_by_one(counts, capacity):
+    left, fixed, again = packing._Lengths(counts), {}, True
+    while again:
+        again = False
+        for large in sorted(left.sizes, reverse=True):
+            while left.count.get(large) and (partners := packing._dominating(left, large, capacity)) is not None:
+                for size in (large, *partners):
+                    left.take(size, 1)
+                fixed[tuple(sorted([large, *partners]))] = fixed.get(tuple(sorted([large, *partners])), 0) + 1
+                again = True
+    return fixed, left.count
+
+
+def test_reduction_of_many_at_once_is_that_of_one_at_a_time():
+    random.seed(8)
+    pairs = 0
+    for _ in range(300):
+        capacity = random.randint(20, 60)
+        least = random.choice([1, capacity // 4, capacity * 3 // 10])
+        counts = {random.randint(least, capacity): random.randint(1, 14) for _ in range(random.randint(1, 12))}
+        fixed, rest = packing.reduced(counts, capacity)
+        got = {}
+        for p in fixed:
+            key = tuple(sorted(s for s, n in p.items for _ in range(n)))
+            got[key] = got.get(key, 0) + p.times
+            pairs += len(key) == 3 and p.times > 1
+        assert (got, rest) == _one_by_one(counts, capacity)
+        left, large = packing._Lengths(counts), max(counts)
+        all_ = [s for s, n in counts.items() for _ in range(min(n, 3) - (s == large))]
+        sums = [a + b for i, a in enumerate(all_) for b in all_[i + 1 :]]
+        assert left.largest_pair(capacity, large) == max((x for x in sums if x <= capacity), default=0)
+    assert pairs
+
+
+def test_reduction_without_short_texts_takes_no_step_a_document():
+    counts = {size: 10**6 for size in range(1100, 1400, 7)}
+    start = time.monotonic()
+    fixed, rest = packing.reduced(counts, 4096)
+    assert time.monotonic() - start < 20
+    assert sum(p.times * n for p in fixed for _, n in p.items) + sum(rest.values()) == 10**6 * len(counts)
+
+
 def test_best_fit_is_that_of_single_documents():
     random.seed(2)
     for _ in range(200):
