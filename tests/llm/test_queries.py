@@ -4,12 +4,13 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from inkfall.llm import queries
+from inkfall.llm import langid, pii, queries
 
 from .test_pii import _base, _disclosing
 from .test_simhash import _components, _fingerprint
@@ -76,7 +77,7 @@ def test_substrings(spark, rows):
 
 
 def test_pii(spark, rows):
-    terms = _disclosing([d.text for d in rows], 5, 0.9, 0.98)
+    terms = _disclosing([d.text for d in rows], pii.SUPPORT, pii.GENERALISE, pii.REMOVE)
     got = {r.doc_id: r for r in queries.op9_pii(spark, SF).collect()}
     for d in rows:
         spans = _base(d.text)
@@ -91,3 +92,16 @@ def test_language_id_on_held_out_documents(spark, rows):
     assert len(got) == len(rows) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     held = [r for r in got if r.held_out and lang[r.doc_id]]
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.9 * len(held)
+
+
+def test_language_id_is_that_of_each_text_alone(spark, rows):
+    model = langid.learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_language_id(spark, SF).collect()}
+    for d in rows:
+        own = langid.letters(d.text or "")
+        if not len(own):
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0.0)
+            continue
+        entropy = model.entropies([own])[0]
+        assert got[d.doc_id].lang_pred == model.languages[int(np.argmin(entropy))]
+        assert abs(got[d.doc_id].score - 1 / np.exp(-(entropy - entropy.min()) * min(len(own), langid.CERTAIN)).sum()) < 1e-9
