@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, packing, pii, simhash, substrings, token_files, topk
+from . import chat, exact_dedup, langid, mixing, packing, pii, ranking, simhash, substrings, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_list("pii_base"), 256).alias("base_sha256"), pii.span_list("pii_spans").alias("spans"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -152,10 +156,34 @@ WITH t AS (
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents)
+), tf AS (
+  SELECT doc_id, row, term, count(*) AS tf FROM words GROUP BY doc_id, row, term
+), lengths AS (
+  SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY row
+), whole AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term, docs
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (row), whole GROUP BY item_id, doc_id, row
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+) WHERE rank <= 50
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op4_substring_dedup, op5_exact_top_k, op6_token_files, op7_exact_dedup, op8_mixing, op9_pii, op10_language_id)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op4_substring_dedup, op5_exact_top_k, op6_token_files, op7_exact_dedup, op8_mixing, op9_pii, op10_language_id, op11_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_ranked_search": OP11_SQL}
