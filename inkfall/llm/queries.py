@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, packing, pii, ranking, simhash, substrings, token_files, topk
+from . import chat, exact_dedup, langid, mixing, packing, pii, ranking, simhash, substrings, token_files, topk, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(_table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -181,9 +185,42 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
 """
 
 
+def _op13_sql(rounds: int = 6) -> str:
+    """One pair of steps a round: parts to their nearest entries, entries to the means of their parts."""
+    nearest = "SELECT vec_id, part, any_value(v) AS v, min(dist) AS dist, arg_min(entry, (dist, entry)) AS entry FROM (SELECT p.*, c.entry, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) AS dist FROM p JOIN {books} c USING (part)) GROUP BY vec_id, part"
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(books=f'c{r}')})")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT part, entry, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT part, entry, i, CAST(sum(v[i]) AS BIGINT) AS total, count(*) AS n FROM a{r}, (SELECT unnest(range(1, each + 1)) AS i FROM width) GROUP BY part, entry, i)
+    GROUP BY part, entry
+  ) m USING (part, entry)
+)""")
+    return f"""
+WITH t AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), width AS (SELECT max(len(v)) // 8 AS each FROM t), p AS MATERIALIZED (
+  SELECT vec_id, part, v[part * each + 1 : part * each + each] AS v FROM t, width, (SELECT unnest(range(8)) AS part)
+), firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM t ORDER BY vec_id LIMIT 16
+), c0 AS (SELECT part, entry, v FROM p JOIN firsts USING (vec_id)),
+{", ".join(steps)},
+z AS ({nearest.format(books=f"c{rounds}")}),
+found AS (SELECT vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM z GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM found JOIN t USING (vec_id)
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op4_substring_dedup, op5_exact_top_k, op6_token_files, op7_exact_dedup, op8_mixing, op9_pii, op10_language_id, op11_ranked_search)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op4_substring_dedup, op5_exact_top_k, op6_token_files, op7_exact_dedup, op8_mixing, op9_pii, op10_language_id, op11_ranked_search, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_ranked_search": OP11_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_ranked_search": OP11_SQL, "op13_vector_codes": OP13_SQL}
