@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, packing, pii, ranking, simhash, substrings, token_files, topk, vector_codes
+from . import chat, exact_dedup, langid, mixing, packing, pii, quality, ranking, simhash, substrings, token_files, topk, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,12 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality")), name="score")
+    return found.select("doc_id", (langid.remainder("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digests(_table(spark, sf_dir, "embeddings"))
 
@@ -219,7 +225,7 @@ OP13_SQL = _op13_sql()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op4_substring_dedup, op5_exact_top_k, op6_token_files, op7_exact_dedup, op8_mixing, op9_pii, op10_language_id, op11_ranked_search, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_simhash_near_dedup, op4_substring_dedup, op5_exact_top_k, op6_token_files, op7_exact_dedup, op8_mixing, op9_pii, op10_language_id, op11_ranked_search, op12_quality_classifier, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:

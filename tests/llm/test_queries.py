@@ -36,7 +36,7 @@ def _crc(ids):
 
 def test_every_operator_is_registered():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 def test_packing(spark, rows):
@@ -94,6 +94,15 @@ def test_language_id_on_held_out_documents(spark, rows):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.9 * len(held)
 
 
+def test_quality_on_held_out_documents(spark, rows):
+    good = dict(map(tuple, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality").collect()))
+    got = queries.op12_quality_classifier(spark, SF).collect()
+    assert len(got) == len(rows) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    held = [r for r in got if r.held_out and r.doc_id in good]
+    assert len(held) > 5 and sum(r.predicted == good[r.doc_id] for r in held) >= 0.85 * len(held)
+
+
 def test_language_id_is_that_of_each_text_alone(spark, rows):
     model = langid.learn(spark.read.parquet(f"{SF}/documents.parquet"))
     got = {r.doc_id: r for r in queries.op10_language_id(spark, SF).collect()}
