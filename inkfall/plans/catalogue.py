@@ -406,8 +406,11 @@ def q30_log_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from inkfall.plans import catalogue_services  # noqa: F401 - it adds its queries to these
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

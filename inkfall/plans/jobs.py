@@ -1,34 +1,45 @@
-"""Chunk jobs: ids that a repeated run gives again, and tables with the job written last.
-
-Each execution is a run with a partition of its own; a run that is named again overwrites that
-partition. A reader counts only chunks whose job is there, so a run that broke off leaves nothing
-visible, and of a job that several runs hold, as of a document chunked twice, those of the last run.
-"""
+"""Chunk jobs: ids that a repeated run gives again, and executions that are stored as commits."""
 
 from __future__ import annotations
 
 import json
-import time
+from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfall.operators.cleaning import CleaningConfig, cleaned_texts
 from inkfall.operators.preview import preview_chunks, source_preview
 from inkfall.plans.registry import chunk
+from inkfall.plans.store import Store, fields_of
+
+
+def _told(params: dict | None) -> str:
+    return json.dumps(params or {}, sort_keys=True, ensure_ascii=False)
+
+
+def told_cleaning(config: CleaningConfig | None) -> str | None:
+    """A configuration as JSON; functions by their names."""
+    if config is None:
+        return None
+    name = lambda f: f"{getattr(f, '__module__', '')}.{getattr(f, '__qualname__', repr(f))}" if callable(f) else str(f)
+    return json.dumps(asdict(config), sort_keys=True, ensure_ascii=False, default=name)
 
 
-def with_ids(chunks: DataFrame, strategy: str, params: dict | None = None, id_col: str = "doc_id", parents: bool = False) -> DataFrame:
+def job_id(doc: Column, strategy: str, params: dict | None, cleaning: CleaningConfig | None = None) -> Column:
+    parts = [F.lit(strategy), F.lit(_told(params)), *([F.lit(told_cleaning(cleaning))] if cleaning else [])]
+    return F.sha2(F.concat_ws("|", F.coalesce(doc.cast("string"), F.lit("")), *parts), 256)
+
+
+def with_ids(chunks: DataFrame, strategy: str, params: dict | None = None, id_col: str = "doc_id", parents: bool = False, cleaning: CleaningConfig | None = None) -> DataFrame:
     """Chunks with job_id, chunk_id and parent_id.
 
     parent_id is null, as chunks are stored without their parents; `parents` fills it with the id
     that the parent's own chunk has when parents are stored.
     """
-    told = json.dumps(params or {}, sort_keys=True, ensure_ascii=False)
-    job = F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(strategy), F.lit(told)), 256)
+    job = job_id(F.col(id_col), strategy, params, cleaning)
     own = F.sha2(F.concat_ws("|", job, F.col("chunk_index").cast("string")), 256)
-    whole = json.dumps({**(params or {}), "return_parents_only": True}, sort_keys=True, ensure_ascii=False)
-    parent_job = F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(strategy), F.lit(whole)), 256)
+    parent_job = job_id(F.col(id_col), strategy, {**(params or {}), "return_parents_only": True}, cleaning)
     index = F.get_json_object("metadata", "$.parent_index")
     parent = F.when(index.isNotNull(), F.sha2(F.concat_ws("|", parent_job, index), 256)) if parents else F.lit(None).cast("string")
     return chunks.withColumn("job_id", job).withColumn("chunk_id", own).withColumn("parent_id", parent)
@@ -36,27 +47,34 @@ def with_ids(chunks: DataFrame, strategy: str, params: dict | None = None, id_co
 
 def job_rows(chunks: DataFrame, strategy: str, params: dict | None = None, id_col: str = "doc_id") -> DataFrame:
     """(job_id, doc_id, strategy_name, params, total_chunks, status) of chunks with ids."""
-    told = json.dumps(params or {}, sort_keys=True, ensure_ascii=False)
     counts = chunks.groupBy("job_id", id_col).agg(F.count("*").alias("total_chunks"))
-    return counts.select("job_id", id_col, F.lit(strategy).alias("strategy_name"), F.lit(told).alias("params"), "total_chunks", F.lit("completed").alias("status"))
+    return counts.select("job_id", id_col, F.lit(strategy).alias("strategy_name"), F.lit(_told(params)).alias("params"), "total_chunks", F.lit("completed").alias("status"))
 
 
-def execute(docs: DataFrame, strategy: str, params: dict | None, out: str, *, embed=None, cleaning: CleaningConfig | None = None, id_col: str = "doc_id", text_col: str = "text", run: str | None = None) -> DataFrame:
-    """Chunk, store `chunks` and then `chunk_jobs` under out, and return the jobs. Runs are named by their time."""
-    spark = docs.sparkSession
-    run = run or f"t{time.time_ns():020d}"
-    chunks = with_ids(chunk(docs, strategy, params, embed=embed, cleaning=cleaning, id_col=id_col, text_col=text_col), strategy, params, id_col)
-    place = f"strategy_name={strategy}/run={run}"
-    chunks.write.mode("overwrite").parquet(f"{out}/chunks/{place}")
-    stored = spark.read.parquet(f"{out}/chunks/{place}")
-    job_rows(stored, strategy, params, id_col).drop("strategy_name").write.mode("overwrite").parquet(f"{out}/chunk_jobs/{place}")
-    return spark.read.parquet(f"{out}/chunk_jobs").where((F.col("strategy_name") == strategy) & (F.col("run") == run))
+def execute(docs: DataFrame, strategy: str, params: dict | None, out: str, *, embed=None, cleaning: CleaningConfig | None = None, id_col: str = "doc_id", text_col: str = "text", run: str = "", parents: bool = False) -> DataFrame:
+    """Chunk every document into the store at `out` by one commit, and return the jobs, one for each document.
 
-
-def stored_chunks(spark, out: str) -> DataFrame:
-    """Chunks whose job is complete."""
-    last = spark.read.parquet(f"{out}/chunk_jobs").groupBy("job_id").agg(F.max("run").alias("run"))
-    return spark.read.parquet(f"{out}/chunks").join(last, ["job_id", "run"], "left_semi")
+    Jobs come from the documents, so one without chunks has its row. Rows of one id are one job. The
+    chunks are written once and counted where they are written.
+    """
+    spark, store = docs.sparkSession, Store(docs.sparkSession, out)
+    found = with_ids(chunk(docs, strategy, params, embed=embed, cleaning=cleaning, id_col=id_col, text_col=text_col), strategy, params, id_col, parents, cleaning)
+    rows = found.withColumn("strategy_name", F.lit(strategy)).withColumn("fields", fields_of(F.col("metadata"))).withColumn("doc_id", F.col(id_col).cast("string"))
+    name = store.write("chunks", rows)
+    counts = store.written("chunks", name).groupBy(F.col("job_id").alias("of")).agg(F.count("*").alias("n"))
+    jobs = docs.select(F.col(id_col).cast("string").alias("doc_id")).distinct().withColumn("job_id", job_id(F.col("doc_id"), strategy, params, cleaning))
+    told = jobs.join(counts, F.col("job_id") == F.col("of"), "left").select(
+        "job_id", "doc_id", F.lit(strategy).alias("strategy_name"), F.lit(_told(params)).alias("params"), F.lit(told_cleaning(cleaning)).cast("string").alias("cleaning"),
+        F.coalesce("n", F.lit(0)).alias("total_chunks"), F.lit("completed").alias("status"), F.lit(run).alias("run"), F.current_timestamp().alias("created_at"),
+    )
+    store.write("chunk_jobs", told, name)
+    number = store.publish(name, ["chunk_jobs", "chunks"], "execute", run)
+    return store.written("chunk_jobs", name).withColumn("number", F.lit(number))
+
+
+def stored_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """Chunks of every job's last execution."""
+    return Store(spark, out).chunks()
 
 
 def preview(docs: DataFrame, strategy: str, params: dict | None = None, limit: int = 10, *, embed=None, cleaning: CleaningConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
