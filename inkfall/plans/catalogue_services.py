@@ -29,17 +29,17 @@ SELECT doc_id, 'parent_child', 3, count(i), count(i), CAST(coalesce(sum(CASE WHE
 """)
 def q32_three_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three executions, of which the second empties every third document's job, and a deletion: what the last snapshot holds."""
-    store, docs = Store(spark, shared.scratch_path(spark, "executions")), _dense(spark, sf_dir)
+    store, docs = Store(spark, shared.scratch_path(spark, "executions"), "bigint"), _dense(spark, sf_dir)
     jobs.execute(docs, "recursive_character", None, store.root, run="z")
     jobs.execute(docs.where("doc_id % 3 = 0").withColumn("text", F.lit("")), "recursive_character", None, store.root, run="backfill")
     jobs.execute(docs, "parent_child", None, store.root, run="a")
     store.delete_documents(docs.where("doc_id % 7 = 0"), "doc_id")
     held = store.chunks().groupBy("job_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    return store.chunk_jobs().join(held, "job_id", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "strategy_name", "number", "total_chunks", F.coalesce("n", F.lit(0)).alias("n_stored"), F.coalesce("chars", F.lit(0)).cast("long").alias("n_chars"))
+    return store.chunk_jobs().join(held, "job_id", "left").select("doc_id", "strategy_name", "number", "total_chunks", F.coalesce("n", F.lit(0)).alias("n_stored"), F.coalesce("chars", F.lit(0)).cast("long").alias("n_chars"))
 
 
 @_query(f"""
-WITH {_SOLID} SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(4000 + 350 AS INTEGER) AS char_start, substr(x, 4351, CAST(least(400, least(2000, n - 4000) - 350) AS BIGINT)) AS text FROM s WHERE n - 4000 > 400
+WITH {_SOLID} SELECT doc_id, CAST(4000 + 350 AS INTEGER) AS char_start, substr(x, 4351, CAST(least(400, least(2000, n - 4000) - 350) AS BIGINT)) AS text FROM s WHERE n - 4000 > 400
 """)
 def q33_stored_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third parent's second child, found by the metadata that the store keeps as columns."""

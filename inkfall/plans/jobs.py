@@ -57,12 +57,12 @@ def execute(docs: DataFrame, strategy: str, params: dict | None, out: str, *, em
     Jobs come from the documents, so one without chunks has its row. Rows of one id are one job. The
     chunks are written once and counted where they are written.
     """
-    spark, store = docs.sparkSession, Store(docs.sparkSession, out)
+    spark, store = docs.sparkSession, Store(docs.sparkSession, out, docs.schema[id_col].dataType.simpleString())
     found = with_ids(chunk(docs, strategy, params, embed=embed, cleaning=cleaning, id_col=id_col, text_col=text_col), strategy, params, id_col, parents, cleaning)
-    rows = found.withColumn("strategy_name", F.lit(strategy)).withColumn("fields", fields_of(F.col("metadata"))).withColumn("doc_id", F.col(id_col).cast("string"))
+    rows = found.withColumn("strategy_name", F.lit(strategy)).withColumn("fields", fields_of(F.col("metadata"))).withColumn("doc_id", F.col(id_col))
     name = store.write("chunks", rows)
     counts = store.written("chunks", name).groupBy(F.col("job_id").alias("of")).agg(F.count("*").alias("n"))
-    jobs = docs.select(F.col(id_col).cast("string").alias("doc_id")).distinct().withColumn("job_id", job_id(F.col("doc_id"), strategy, params, cleaning))
+    jobs = docs.select(F.col(id_col).alias("doc_id")).distinct().withColumn("job_id", job_id(F.col("doc_id"), strategy, params, cleaning))
     told = jobs.join(counts, F.col("job_id") == F.col("of"), "left").select(
         "job_id", "doc_id", F.lit(strategy).alias("strategy_name"), F.lit(_told(params)).alias("params"), F.lit(told_cleaning(cleaning)).cast("string").alias("cleaning"),
         F.coalesce("n", F.lit(0)).alias("total_chunks"), F.lit("completed").alias("status"), F.lit(run).alias("run"), F.current_timestamp().alias("created_at"),

@@ -39,10 +39,10 @@ FIELDS = (
 )
 
 SCHEMAS = {
-    "documents": "id string, filename string, file_path string, file_size long, content_text string, created_at timestamp",
-    "chunk_jobs": "job_id string, doc_id string, strategy_name string, params string, cleaning string, total_chunks long, status string, run string, created_at timestamp",
-    "chunks": "chunk_id string, job_id string, doc_id string, strategy_name string, chunk_index int, text string, metadata string, fields struct<" + ", ".join(f"`{k}`: string" for k in FIELDS) + ">, parent_id string, char_start int, char_end int",
-    "tombstones": "doc_id string",
+    "documents": "id {id}, filename string, file_path string, file_size long, content_text string, created_at timestamp",
+    "chunk_jobs": "job_id string, doc_id {id}, strategy_name string, params string, cleaning string, total_chunks long, status string, run string, created_at timestamp",
+    "chunks": "chunk_id string, job_id string, doc_id {id}, strategy_name string, chunk_index int, text string, metadata string, fields struct<" + ", ".join(f"`{k}`: string" for k in FIELDS) + ">, parent_id string, char_start int, char_end int",
+    "tombstones": "doc_id {id}",
 }
 
 
@@ -65,11 +65,21 @@ def metadata_equals(filters: dict | None) -> Column:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    """The tables under one folder. Ids of documents have one type, that of the first commit: id_type, or else string."""
+
+    def __init__(self, spark: SparkSession, root: str, id_type: str | None = None) -> None:
+        self.spark, self.root, self._wanted = spark, root.rstrip("/"), id_type or "string"
         self.log = shared.NumberedFiles(spark, f"{self.root}/_log")
         self.states = shared.NumberedFiles(spark, f"{self.root}/_log/states")
 
+    @property
+    def id_type(self) -> str:
+        first = next(iter(self.log.numbers()), None)
+        return self._wanted if first is None else json.loads(self.log.read(first)).get("id_type", self._wanted)
+
+    def schema(self, table: str) -> str:
+        return SCHEMAS[table].replace("{id}", self.id_type)
+
     # The log.
 
     def last(self) -> int:
@@ -99,17 +109,17 @@ class Store:
     def write(self, table: str, rows: DataFrame, name: str | None = None) -> str:
         """Rows of a table under a commit's name, a new one unless given. They count when it is published."""
         name = name or uuid.uuid4().hex
-        columns = self.spark.createDataFrame([], SCHEMAS[table]).schema
+        columns = self.spark.createDataFrame([], self.schema(table)).schema
         rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in columns]).write.option("compression", "zstd").parquet(f"{self.root}/{table}/commit={name}")
         return name
 
     def written(self, table: str, name: str) -> DataFrame:
         """The rows of one commit."""
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/commit={name}")
+        return self.spark.read.schema(self.schema(table)).parquet(f"{self.root}/{table}/commit={name}")
 
     def publish(self, name: str, tables: list[str], operation: str, run: str = "", base: int | None = None, replaces: Iterable[str] = ()) -> int:
         """Put the manifest of files that are already there under the next free number."""
-        manifest = {"commit": name, "tables": tables, "operation": operation, "run": run, "replaces": sorted(replaces), "at": time.time()}
+        manifest = {"commit": name, "tables": tables, "operation": operation, "run": run, "id_type": self.id_type, "replaces": sorted(replaces), "at": time.time()}
         while True:
             number = (self.last() if base is None else base) + 1
             if self.log.publish(number, json.dumps(manifest, ensure_ascii=False)):
@@ -125,7 +135,7 @@ class Store:
     def _rows(self, table: str, number: int | None) -> DataFrame:
         """Every row of the live commits with its commit's number as _number."""
         live = [m for m in self.history(number) if table in m["tables"]]
-        schema = f"{SCHEMAS[table]}, commit string"
+        schema = f"{self.schema(table)}, commit string"
         if not live:
             return self.spark.createDataFrame([], schema).drop("commit").withColumn("_number", F.lit(0))
         reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}")
@@ -167,12 +177,12 @@ class Store:
     def add_documents(self, docs: DataFrame, run: str = "") -> int:
         """Rows of the documents table; columns that docs lacks are null. Later rows of an id take the place of earlier ones."""
         own = {c.lower(): c for c in docs.columns}
-        rows = docs.select(*[(F.col(f"`{own[f.name.lower()]}`") if f.name.lower() in own else F.lit(None)).alias(f.name) for f in self.spark.createDataFrame([], SCHEMAS["documents"]).schema])
+        rows = docs.select(*[(F.col(f"`{own[f.name.lower()]}`") if f.name.lower() in own else F.lit(None)).alias(f.name) for f in self.spark.createDataFrame([], self.schema("documents")).schema])
         return self.commit({"documents": rows}, "add_documents", run)
 
     def delete_documents(self, ids: DataFrame, id_col: str = "id", run: str = "") -> int:
         """Hide the documents of these ids with their jobs and chunks. Documents added later under the ids are there again."""
-        return self.commit({"tombstones": ids.select(F.col(id_col).cast("string").alias("doc_id")).where("doc_id is not null").distinct()}, "delete_documents", run)
+        return self.commit({"tombstones": ids.select(F.col(id_col).cast(self.id_type).alias("doc_id")).where("doc_id is not null").distinct()}, "delete_documents", run)
 
     def compact(self) -> int:
         """The snapshot as one commit in place of all before it; refused if another commit comes first."""
