@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfall.plans import jobs
+from inkfall.plans import jobs, table_functions
 from inkfall.plans.catalogue import _PIECES, _SOLID, _query, _t
 from inkfall.plans.store import Store
 from inkfall.sources import shared
@@ -46,3 +46,14 @@ def q33_stored_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared.scratch_path(spark, "stored")
     jobs.execute(_dense(spark, sf_dir), "parent_child", None, root)
     return Store(spark, root).chunks(strategy="parent_child", filters={"parent_index": 2, "child_index": 1, "granularity": "child"}).select("doc_id", "char_start", "text")
+
+
+@_query(f"""
+WITH {_PIECES.replace("500", "400").replace("450", "370")}
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, '{{"chunk_size":400,"chunk_overlap":30}}' AS metadata, substr(x, 1 + i * 370, 400) AS text, CAST(i * 370 AS INTEGER) AS char_start, CAST(least(i * 370 + 400, n) AS INTEGER) AS char_end FROM c
+""")
+def q34_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents without white space, asked for in SQL."""
+    table_functions.register(spark)
+    source = F.regexp_replace("text", r"\s+", "").alias("body")
+    return spark.sql("SELECT * FROM recursive_character(TABLE({docs}), chunk_size => 400, chunk_overlap => 30, text_col => 'body')", docs=_t(spark, sf_dir, "documents").select("doc_id", source).where("body <> ''"))
