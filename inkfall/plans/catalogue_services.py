@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,39 @@ def q34_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     table_functions.register(spark)
     source = F.regexp_replace("text", r"\s+", "").alias("body")
     return spark.sql("SELECT * FROM recursive_character(TABLE({docs}), chunk_size => 400, chunk_overlap => 30, text_col => 'body')", docs=_t(spark, sf_dir, "documents").select("doc_id", source).where("body <> ''"))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as entries of the log."""
+    return _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("timestamp"), F.col("event_type").alias("level"), F.col("props").alias("message"))
+
+
+@_query("""
+WITH e AS (SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, count(*) OVER () AS n FROM events)
+SELECT event_type AS level, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(event_id) AS BIGINT) AS ids FROM e WHERE seq >= n - 2000 GROUP BY event_type
+""")
+def q35_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a log, of which a new subscriber gets the last 2000."""
+    from inkfall.streaming import log_source, logs
+
+    log, name = shared.scratch_path(spark, "log"), f"replay_{uuid.uuid4().hex}"
+    log_source.publish_rows(_entries(spark, sf_dir).withColumn("id", F.col("seq").cast("string")).withColumn("order", F.col("seq")), log, "timestamp", "order")
+    counts = logs.subscribe(spark, log, replay=2000).groupBy("level").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum(F.col("id").cast("long")).alias("ids"))
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@_query("""
+WITH e AS (SELECT CAST(user_id % 8 AS VARCHAR) AS client, event_type, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts DESC, event_id DESC) AS k FROM events)
+SELECT client, event_type AS level, count(*) AS n FROM e WHERE k <= 1000 GROUP BY client, event_type
+""")
+def q36_client_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by level of the last 1000 entries of eight clients, which get them out of order and in several batches."""
+    from inkfall.streaming import clients
+
+    place = shared.scratch_path(spark, "clients")
+    rows = _entries(spark, sf_dir).withColumn("client", (F.col("user_id") % 8).cast("string")).drop("user_id")
+    rows.repartition(6, F.xxhash64("seq")).write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/in")
+    clients.keep_views(stream, f"{place}/out", f"{place}/checkpoint", level="error").awaitTermination()
+    return clients.newest_views(spark, f"{place}/out").select("client", F.explode("counts").alias("level", "n"))

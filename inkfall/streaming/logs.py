@@ -7,29 +7,37 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from inkfall.streaming import log_source
+from inkfall.streaming.log_source import HISTORY
+
 LEVELS = ("debug", "info", "warn", "error", "success")
-HISTORY, CLIENT_HISTORY = 500, 1000
-SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("timestamp", T.DoubleType()), T.StructField("level", T.StringType()), T.StructField("message", T.StringType()),
-    T.StructField("source", T.StringType()), T.StructField("duration_ms", T.IntegerType()), T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
-])
+CLIENT_HISTORY = 1000
+SCHEMA = log_source.ENTRY
 
 
 def entry(message: str, level: str = "info", source: str = "", duration_ms: int | None = None, **extra: object) -> dict:
     return {"id": uuid.uuid4().hex[:8], "timestamp": time.time(), "level": level, "message": message, "source": source, "duration_ms": duration_ms, "extra": {k: str(v) for k, v in extra.items()}}
 
 
-def emit(spark: SparkSession, path: str, entries: list[dict]) -> None:
-    """Append entries to the log's folder, where every reader's stream finds them."""
-    spark.createDataFrame([tuple(e[f.name] for f in SCHEMA) for e in entries], SCHEMA).coalesce(1).write.mode("append").json(path)
+def emit(spark: SparkSession, path: str, entries: list[dict]) -> int:
+    """Append entries to the log's folder, where every reader's stream finds them; the number of the next entry."""
+    return log_source.publish(spark, path, entries)
+
+
+def subscribe(spark: SparkSession, path: str, replay: int = HISTORY, limit: int = 0) -> DataFrame:
+    """The last `replay` entries, then what comes. A reader that falls more than `limit` behind loses the oldest; 0 is no limit."""
+    spark.dataSource.register(log_source.LogSource)
+    return spark.readStream.format("inkfall_log").option("replay", replay).option("limit", limit).load(path)
 
 
-def subscribe(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """What is in the log and what comes: a stream that begins with the files already there."""
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
+def tail(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
+    """The last entries in the order they were written; 1 to 1000. Only the segments that hold them are read."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit must be from 1 to 1000")
+    spark.dataSource.register(log_source.LogSource)
+    return spark.read.format("inkfall_log").option("tail", limit).load(path).orderBy("seq")
 
 
 def history(log: DataFrame, limit: int = 100) -> DataFrame:
