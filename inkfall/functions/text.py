@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 #: The 29 code points that str.isspace() accepts, as the inside of a character class.
 SPACES = r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE = f"[{SPACES}]"
+SPACE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Unicode character classes, ^ and $ at each line, only a line feed ends a line.
 LINES = "(?Umd)"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(SPACE_CHARACTERS))
 
 
 def wide_space(pattern: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkfall.operators import cleaning, preview, retrieval, row_tables, score_tables, semantic, splitting
 from inkfall.operators.markdown import markdown_structure
 from inkfall.plans import jobs, registry
+from inkfall.plans.splitting_sql import splitting_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -118,7 +119,7 @@ def q06_recursive_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.recursive_character(_solid(spark, sf_dir)).drop("metadata")
 
 
-@_query()
+@_query(splitting_sql(500, 50, """doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, text, '{"chunk_size":500,"chunk_overlap":50}' AS metadata, CAST(char_start AS INTEGER) AS char_start, CAST(char_end AS INTEGER) AS char_end"""))
 def q07_recursive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.recursive_character(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfall.operators import splitting
 from inkfall.plans import jobs, table_functions
 from inkfall.plans.catalogue import _PIECES, _SOLID, _query, _t
+from inkfall.plans.splitting_sql import splitting_sql
 from inkfall.plans.store import Store
 from inkfall.sources import shared
 
@@ -95,3 +97,24 @@ def q36_client_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/in")
     clients.keep_views(stream, f"{place}/out", f"{place}/checkpoint", level="error").awaitTermination()
     return clients.newest_views(spark, f"{place}/out").select("client", F.explode("counts").alias("level", "n"))
+
+
+_PLACED = "doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, text, CAST(char_start AS INTEGER) AS char_start, CAST(char_end AS INTEGER) AS char_end"
+
+
+@_query(splitting_sql(800, 50, _PLACED))
+def q37_pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as texts without a PDF behind them."""
+    return splitting.pdf_text(_t(spark, sf_dir, "documents").select("doc_id", "text")).drop("metadata")
+
+
+@_query(splitting_sql(2000, 0, _PLACED + ", CAST(chunk_index AS VARCHAR) AS parent_index"))
+def q38_parents_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = splitting.parent_child(_t(spark, sf_dir, "documents").select("doc_id", "text"), {"return_parents_only": True})
+    return found.withColumn("parent_index", F.get_json_object("metadata", "$.parent_index")).drop("metadata")
+
+
+@_query(splitting_sql(300, 100, _PLACED))
+def q39_recursive_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splitting by column expressions alone."""
+    return splitting.recursive_character(_t(spark, sf_dir, "documents").select("doc_id", "text"), {"chunk_size": 300, "chunk_overlap": 100}, native=True).drop("metadata")
