@@ -208,8 +208,14 @@ CLEANERS: dict[str, Callable[[Column], Column]] = {"decode_escapes": decode_esca
 
 
 def clean(df: DataFrame, config: CleaningConfig | None = None, text_col: str = "text") -> DataFrame:
-    """df with cleaned_text, cleaned, changes and metadata. Empty and null texts pass unchanged."""
+    """df with cleaned_text, cleaned, changes and metadata. Empty and null texts pass unchanged.
+
+    df's columns may have any names; where one of the four is taken, an underscore is added to the new one.
+    """
     config = config or CleaningConfig()
+    columns, own = df.columns, [f"c{k}" for k in range(len(df.columns))]
+    at = columns.index(text_col) if text_col in columns else [c.lower() for c in columns].index(text_col.lower())
+    df, text_col = df.toDF(*own), own[at]
     used = [(key, name, run) for key, (name, run) in _STEPS.items() if getattr(config, key)]
     whole = F.coalesce(F.col(text_col) != "", F.lit(False))
 
@@ -234,7 +240,12 @@ def clean(df: DataFrame, config: CleaningConfig | None = None, text_col: str = "
     )
     out = out.withColumn("cleaned_text", F.when(whole, F.col("_text")).otherwise(F.col(text_col))).withColumn("changes", changes)
     out = out.withColumn("cleaned", F.exists("changes", lambda c: c["op"] != "skip")).withColumn("metadata", metadata)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], "cleaned_text", "cleaned", "changes", "metadata")
+    names: list[str] = []
+    for name in ("cleaned_text", "cleaned", "changes", "metadata"):
+        while name.lower() in {c.lower() for c in (*columns, *names)}:
+            name += "_"
+        names.append(name)
+    return out.select(*own, "cleaned_text", "cleaned", "changes", "metadata").toDF(*columns, *names)
 
 
 def cleaned_texts(df: DataFrame, config: CleaningConfig | None, text_col: str = "text") -> DataFrame:
@@ -243,8 +254,10 @@ def cleaned_texts(df: DataFrame, config: CleaningConfig | None, text_col: str =
         return df
     if config.encoding_fixer is None and not (config.enable_pii and config.use_presidio and config.entity_masker):
         return df.withColumn(text_col, cleaned_column(df[text_col], config))
-    names = [F.col("cleaned_text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    return clean(df, config, text_col).select(*names)
+    done = clean(df, config, text_col)
+    own = [f"c{k}" for k in range(len(done.columns))]
+    kept = [own[len(df.columns)] if c == text_col else own[k] for k, c in enumerate(df.columns)]
+    return done.toDF(*own).select(*kept).toDF(*df.columns)
 
 
 def cleaned_column(text: Column, config: CleaningConfig | None) -> Column:

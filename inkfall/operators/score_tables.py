@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import accumulate, zip_longest
 
 from pyspark.sql import DataFrame
 
@@ -78,39 +81,64 @@ def _names_in_first_row(first: list[str]) -> list[str]:
     return [name for cell in cells if cell not in SCORE_LABELS and (name := _person(cell))]
 
 
+@dataclass(frozen=True)
+class _Column:
+    """A column of the header: its place, its upper and its lower cell."""
+
+    at: int
+    top: str
+    below: str
+
+    def scores(self) -> bool:
+        return self.top not in ("", "nan") and any(w in self.below for w in SCORE_WORDS)
+
+    def reasons(self) -> bool:
+        return any(w in self.below for w in ("理由", "说明"))
+
+    def names(self) -> bool:
+        return "姓名" in self.top and bool(_person(self.top))
+
+
+def _chosen(columns: list[_Column], sign: Callable[[_Column], bool], yields: Callable[[_Column], bool]) -> list[_Column]:
+    """Columns with a sign, but for those that yield to a chosen one right before them."""
+    flags = accumulate(columns, lambda before, c: sign(c) and not (before and yields(c)), initial=False)
+    return [c for c, chosen in zip(columns, list(flags)[1:], strict=True) if chosen]
+
+
+def _next_if(columns: list[_Column], column: _Column, test: Callable[[_Column], bool]) -> int:
+    """The place of the column after this one if it passes the test; -1 otherwise."""
+    return next((c.at for c in columns[column.at + 1 : column.at + 2] if test(c)), -1)
+
+
+def _by_lower_cells(columns: list[_Column], named: list[str]) -> list[tuple[str, int, int]]:
+    """Names above, scores and reasons below."""
+    return [(_person(c.top), c.at, _next_if(columns, c, _Column.reasons)) for c in _chosen(columns, _Column.scores, _Column.reasons)]
+
+
+def _by_name_headers(columns: list[_Column], named: list[str]) -> list[tuple[str, int, int]]:
+    """Headers that say they are a name; the column after one belongs to it."""
+    told = lambda c: "理由" in c.top or "理由" in c.below
+    return [(_person(c.top), c.at, _next_if(columns, c, told)) for c in _chosen(columns, _Column.names, lambda c: True)]
+
+
+def _by_flat_headers(columns: list[_Column], named: list[str]) -> list[tuple[str, int, int]]:
+    """A name and a mark in one header."""
+    return [(c.top, c.at, -1) for c in columns for form in FLAT_HEADERS if re.match(form, c.top)]
+
+
+def _by_first_row(columns: list[_Column], named: list[str]) -> list[tuple[str, int, int]]:
+    """Names in the first data row, for the score columns, or every second column from the first of these."""
+    scores = [c.at for c in columns if "评分" in c.top or "得分" in c.top]
+    places = scores if len(scores) == len(named) else range(scores[0] if scores else len(columns), len(columns), 2)
+    return [(name, at, _next_if(columns, columns[at], lambda c: True)) for name, at in zip(named, places, strict=False)]
+
+
 def people(headers: list[list[str]], named: list[str]) -> list[tuple[str, int, int]]:
     """(name, column of the score, column of the reason or -1), by the first sign that finds any."""
-    top = [c.strip() for c in headers[0]]
-    under = [c.strip() for c in headers[1]] if len(headers) > 1 else []
-    n = len(top)
-
-    def below(i: int) -> str:
-        return under[i] if i < len(under) else ""
-
-    out: list[tuple[str, int, int]] = []
-    i = 0
-    while under and i < n:  # names above, scores and reasons below
-        reason = i + 1 if i + 1 < n and any(w in below(i + 1) for w in ("理由", "说明")) else -1
-        if top[i] and top[i] != "nan" and any(w in below(i) for w in SCORE_WORDS):
-            out.append((_person(top[i]), i, reason))
-            i += 1 + (reason > 0)
-        else:
-            i += 1
-    i = 0
-    while not (out and i == 0) and i < n:  # a header that says it is a name
-        name = _person(top[i]) if "姓名" in top[i] else ""
-        if name:
-            follows = i + 1 < n and ("理由" in top[i + 1] or "理由" in below(i + 1))
-            out.append((name, i, i + 1 if follows else -1))
-        i += 2 if name else 1
-    if not out:  # a name and a mark in one header
-        out = [(cell, i, -1) for i, cell in enumerate(top) for form in FLAT_HEADERS if re.match(form, cell)]
-    if not out and named:  # names in the first data row
-        scores = [i for i, cell in enumerate(top) if "评分" in cell or "得分" in cell]
-        if len(scores) != len(named) and scores:
-            scores = [scores[0] + 2 * k for k in range(len(named))]
-        out = [(name, i, i + 1 if i + 1 < n else -1) for name, i in zip(named, scores, strict=False) if i < n]
-    return out
+    top, below = ([cell.strip() for cell in row] for row in (*headers[:2], [])[:2])
+    columns = [_Column(i, cell, under) for i, (cell, under) in enumerate(zip_longest(top, below[: len(top)], fillvalue=""))]
+    found = (sign(columns, named) for sign in (_by_lower_cells, _by_name_headers, _by_flat_headers, _by_first_row))
+    return next(filter(None, found), [])
 
 
 def long_rows(headers: list[list[str]], rows: list[list[str]]) -> list[dict[str, str]]:
