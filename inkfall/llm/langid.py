@@ -8,20 +8,23 @@ context, so a character costs one binary search where its longest n-gram is know
 The language of least cross-entropy per character wins. A text whose entropy is beyond what the
 language's held-back sample shows but for its oddest hundredth, with a margin, is rejected.
 
-Sample: up to SAMPLE_DOCS documents for each of the LANGUAGES most frequent labels, those of the
-least hashes of their ids, and half as many more to set the bounds; of a text longer than
-SAMPLE_CHARS, a stretch of so many characters from a place that the hash gives. These bounds are
-parameters of the learning, and they bound the model that is sent to the executors: SAMPLE_DOCS *
-SAMPLE_CHARS * ORDER n-grams a language at most. Everything else reads whole texts of all documents.
+Sample: up to SAMPLE_DOCS documents for each label, those of the least hashes of their ids, and half as
+many more to set the bounds; of a text longer than SAMPLE_CHARS, a stretch of so many characters from
+a place that the hash gives. Every label is learned; where there are so many that they would have more
+than SAMPLE_TOTAL documents together, each has fewer, but one at least. These bounds are parameters of
+the learning, and they bound what the driver gathers and the model that is sent to the executors:
+SAMPLE_CHARS * ORDER n-grams a document at most. Everything else reads whole texts of all documents.
 
 Defined results: a text that is null or has no letter is `und`, with score 0, and rejected; so is
 every text if no document has a label. A null id counts as the text "null" in the choice of learned
 documents. Ties go to the first language in order. Other columns are carried along; keep_identified
-lets them have any names, and identify adds its own three after them.
+lets them have any names, and identify adds its own four after them, with an underscore more where a
+name is taken.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain
+from .common import plain, spare_name
 
 ORDER = 5
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 400, 20_000, 100
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 400, 20_000, 4000
 #: A text is accepted up to MARGIN nats per character beyond the entropy that this share of the
 #: held-back sample keeps within.
 MARGIN, USUAL = 1.0, 0.99
@@ -186,15 +189,16 @@ def remainder(id_col: str) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """The model of docs' labels; documents whose remainder is 2 are never read. None without labels."""
     labelled = docs.where((remainder(id_col) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = dict(map(tuple, labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()))
+    counts = dict(map(tuple, labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).collect()))
     if not counts:
         return None
+    sample_docs = max(1, min(sample_docs, SAMPLE_TOTAL // len(counts)))
     hashed = F.crc32(F.concat_ws(":", F.lit("sample"), F.col(id_col).cast("string")).cast("binary"))
-    want = 3 * sample_docs  # enough for the sample, the held-back part and chance
-    shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, want / n) * (1 << 32))))])
+    want = max(30, 3 * sample_docs)  # enough for the sample, the held-back part and chance
+    shares = F.from_json(F.lit(json.dumps({k: int(min(1.0, want / n) * (1 << 32)) for k, n in counts.items()})), "map<string,long>")
     start = F.pmod(F.xxhash64(hashed), F.greatest(F.length(text_col) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     part = F.substring(F.col(text_col), start, F.lit(SAMPLE_CHARS)).alias("part")
-    rows = labelled.where(hashed < F.element_at(shares, F.col(lang_col))).select(lang_col, hashed.alias("h"), part).collect()
+    rows = labelled.where(hashed < F.element_at(shares, F.col(lang_col).cast("string"))).select(lang_col, hashed.alias("h"), part).collect()
     by: dict[str, list[tuple[int, str]]] = {}
     for lang, h, text in rows:
         by.setdefault(lang, []).append((h, text))
@@ -227,7 +231,7 @@ def _chunks(texts: pa.Array) -> Iterator[list[np.ndarray]]:
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected, each after an underscore."""
+    """docs with lang_pred, score (0 to 1), rejected and entropy (nats a character; null without letters), each after an underscore."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     n = len(docs.columns)
     position = docs.columns.index(text_col)
@@ -235,7 +239,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            pred, score, rejected = [], [], []
+            pred, score, rejected, least = [], [], [], []
             for texts in _chunks(batch.column(position)):
                 entropy = model.entropies(texts) if model else None
                 for i, text in enumerate(texts):
@@ -244,17 +248,21 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                         pred.append("und")
                         score.append(0.0)
                         rejected.append(True)
+                        least.append(None)
                         continue
                     best = int(np.argmin(entropy[i]))
                     gaps = (entropy[i] - entropy[i][best]) * min(count, CERTAIN)
                     pred.append(model.languages[best])
                     score.append(float(1 / np.exp(-gaps).sum()))
                     rejected.append(bool(entropy[i][best] > model.bound[best]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], schema=pa.schema([*(pa.field(f"c{k}", batch.schema.field(k).type) for k in range(n)), ("_lang_pred", pa.string()), ("_score", pa.float64()), ("_rejected", pa.bool_())]))
-
-    schema = T.StructType([*(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)), T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())])
-    found = docs.toDF(*[f"c{k}" for k in range(n)]).mapInArrow(run, schema)
-    return found.toDF(*docs.columns, "_lang_pred", "_score", "_rejected")
+                    least.append(float(entropy[i][best]))
+            added = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), pa.array(least, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names)
+
+    own = docs.toDF(*[f"c{k}" for k in range(n)])
+    schema = T.StructType([*own.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType()), T.StructField("_entropy", T.DoubleType())])
+    names = schema.names
+    return own.mapInArrow(run, schema).toDF(*docs.columns, *[spare_name(docs, name) for name in names[n:]])
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

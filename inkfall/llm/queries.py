@@ -49,7 +49,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs.select("doc_id", "text", "lang")))
-    return found.select("doc_id", (langid.remainder("doc_id") == 2).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return found.select("doc_id", (langid.remainder("doc_id") == 2).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"), F.col("_entropy").alias("entropy"))
 
 
 #: Target weights, a parameter of the query and of the pipeline's stage: as much of each named source,

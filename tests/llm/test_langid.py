@@ -96,6 +96,9 @@ def test_identify(spark):
     assert kept.columns == docs.columns
     clash = docs.withColumn("_rejected", docs.c0).withColumn("_score", docs.c0).withColumn("_lang_pred", docs.c0)
     assert langid.keep_identified(clash).columns == clash.columns and langid.keep_identified(clash).count() == kept.count()
+    named = langid.identify(clash, model)
+    assert named.columns == [*clash.columns, "_lang_pred_", "_score_", "_rejected_", "_entropy"] and named.where("_rejected_").count() == sum(r._rejected for r, _ in got)
+    assert all((r._entropy is None) == (r._lang_pred == "und") for r, _ in got)
     none = docs.withColumn("lang", docs.lang.cast("string")).where("lang is null and doc_id = 903")
     assert langid.learn(none) is None and [r._lang_pred for r in langid.identify(none, None).collect()] == ["und"]
     assert langid.identify(docs.limit(0), model).count() == 0
@@ -109,3 +112,14 @@ def test_a_language_of_long_texts_only(spark, monkeypatch):
     model = langid.learn(docs)
     assert model.languages == ["xx", "zz"]
     assert all(r._lang_pred == r.lang for r in langid.identify(docs, model).collect())
+
+
+def test_every_label_is_learned_however_many_there_are(spark, monkeypatch):
+    random.seed(9)
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 60)
+    make = lambda k, n: " ".join("".join(random.choices([f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" for c in "aeiou"], k=3)) for _ in range(n))
+    docs = spark.createDataFrame([(40 * k + i, make(k, 30), f"l{k:03}") for k in range(120) for i in range(6)], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.languages) == 120
+    got = langid.identify(docs, model).collect()
+    assert sum(r._lang_pred == r.lang for r in got) >= 0.95 * len(got)
