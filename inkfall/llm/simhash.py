@@ -24,12 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import partitions, small_batches, spare_name, text_of, written
+from .common import partitions, plain, small_batches, text_of, written
 from .components import components
 
 #: Above this many fingerprints a shard is cut again by blocks of its remaining bits.
 SHARD_ROWS = 20_000
 
+#: Rows of one key that are compared with each other at a time, and with as many others.
+BLOCK_ROWS = 4096
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], dtype=np.int64)
 
@@ -390,6 +393,20 @@ def _key_pairs(similarity: float, kind: pa.DataType):
     return run
 
 
+def _in_blocks(keyed: DataFrame) -> DataFrame:
+    """Rows (h, part, id) of keys with their size, with h for each pair of the key's blocks that the row is in.
+
+    A key of up to BLOCK_ROWS rows is one block. The rows of a larger one are dealt to blocks by their
+    ids, and every two blocks meet under an h of their own, so every two rows do and no task holds
+    more than two blocks of a key at a time.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("a"), F.greatest(b, F.col("own")).alias("b")))
+    dealt = keyed.withColumn("own", own).withColumn("pair", F.explode(pairs))
+    return dealt.select(F.xxhash64("h", "pair.a", "pair.b").alias("h"), "part", "id")
+
+
 def near_copies(docs: DataFrame, size: int = 5, radius: int = 4, seeds: int = SEEDS, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) over ids of near copies: components of the pairs with the similarity.
 
@@ -420,8 +437,8 @@ def near_copies(docs: DataFrame, size: int = 5, radius: int = 4, seeds: int = SE
     parts = written(components(near, "id", "other").distinct(), "near-parts")
     held = held.join(parts, F.col("id") == F.col("node"), "left").select("h", F.coalesce("root", "id").alias("part"), "id")
     held = written(held, "near-held")
-    mixed = held.groupBy(F.col("h").alias("_h")).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("_h")
-    asked = held.join(mixed, F.col("h") == F.col("_h"), "left_semi").join(rows.select(F.col("id").alias("_id"), "n", "bits"), F.col("id") == F.col("_id"))
+    mixed = held.groupBy(F.col("h").alias("_h")).agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low != high").select("_h", "size")
+    asked = _in_blocks(held.join(mixed, F.col("h") == F.col("_h"))).join(rows.select(F.col("id").alias("_id"), "n", "bits"), F.col("id") == F.col("_id"))
     dealt = asked.select("h", "n", "part", "id", "bits").repartition(max(partitions(docs.sparkSession), 1), "h").sortWithinPartitions("h", "part", "id")
     met = dealt.mapInArrow(_key_pairs(similarity, to_arrow_type(docs.schema[id_col].dataType)), f"id {kind}, other {kind}").where("id != other").distinct()
     more = _confirmed(written(met, "near-met"), rows, docs, size, similarity, id_col, text_col)
@@ -430,6 +447,6 @@ def near_copies(docs: DataFrame, size: int = 5, radius: int = 4, seeds: int = SE
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with one row of each group of near copies, that of the smallest id."""
-    node = spare_name(docs, "_node")
-    found = written(near_copies(docs, id_col=id_col, text_col=text_col, **options).where("node != root").select(F.col("node").alias(node)).distinct(), "near-dropped")
-    return docs.join(found, F.col(id_col) == F.col(node), "left_anti")
+    own, (id_, text) = plain(docs, id_col, text_col)
+    found = written(near_copies(own, id_col=id_, text_col=text, **options).where("node != root").select("node").distinct(), "near-dropped")
+    return own.join(found, F.col(id_) == F.col("node"), "left_anti").toDF(*docs.columns)

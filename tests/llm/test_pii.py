@@ -72,7 +72,7 @@ def test_disclosing_terms(spark):
         texts.append(f"{random.choice(common)} Zebulon mayor wrote from boss@corp.example on day {k} about Quillfeather {random.choice(common)}")
     texts += ["mayor of a town", "mayor again", "Quillfeather far from it", texts[-1], None]
     want = _disclosing([t or "" for t in texts], 5, 0.9, 0.98)
-    assert want.get("zebulon") == "remove" and want.get("quillfeather") == "generalise" and "mayor" in want or want
+    assert want.get("zebulon") == "remove" and want.get("quillfeather") == "generalise" and sorted(want) == ["about", "from", "mayor", "quillfeather", "wrote", "zebulon"]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, term string")
     assert {r.term: r.action for r in pii.disclosing_terms(docs).collect()} == want
     found = {r.doc_id: r for r in pii.find_pii(docs).collect()}
@@ -83,7 +83,7 @@ def test_disclosing_terms(spark):
         assert spans == _base(text) + terms
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "Zebulon" not in clean[80] and "[email]" in clean[80] and "boss" not in clean[80] and clean[len(texts) - 1] is None
-    assert clean[0] == texts[0] or any(t in texts[0] for t in want)
+    assert clean[0] == texts[0]
 
 
 def test_empty_table(spark):

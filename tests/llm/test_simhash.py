@@ -163,3 +163,30 @@ def test_parities_leave_no_pair_out():
         bits = [np.frombuffer(simhash.parities(x), np.uint64)[None] for x in (a, b)]
         able = simhash._able(np.array([len(a)]), np.array([len(b)]), *bits, 0.8)[0]
         assert able or (one | two and len(one & two) / len(one | two) < 0.8)
+
+
+def test_a_family_under_one_key_is_dealt_in_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 20)
+    keyed = spark.range(95).select(F.lit(7).cast("long").alias("h"), F.col("id").alias("part"), "id", F.lit(95).cast("long").alias("size"))
+    groups = {}
+    for r in simhash._in_blocks(keyed).collect():
+        groups.setdefault(r.h, set()).add(r.id)
+    assert len(groups) == 15 and max(map(len, groups.values())) < 80
+    assert {(a, b) for g in groups.values() for a in g for b in g if a < b} == {(a, b) for a in range(95) for b in range(a + 1, 95)}
+    random.seed(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(_edited(base, 4))) for i in range(90)]
+    rows += [(200 + i, " ".join(_edited(rows[i][1].split(), 1))) for i in range(30)]
+    want = _least_of_near(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(want.values())
+
+
+def test_documents_with_the_names_that_the_stage_uses(spark):
+    names = ["_id", "node", "root", "id", "other", "h", "part", "size", "n", "bits", "fps", "bands", "seed", "fp", "_node", "_h", "c0"]
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(3, text, *names), (2, text, *names), (5, "other words stand here in a row", *names)], ["doc_id", "text", *names])
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 5] and kept.first()[2:] == tuple(names)
