@@ -11,12 +11,16 @@ def clamp(n: Column, total: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.coalesce(F.nanvl(n.cast("double"), F.lit(1.0)), F.lit(1.0)).cast("int"), total))
 
 
-def preview_chunks(chunks: DataFrame, limit: int = 10, id_col: str = "doc_id", with_total: bool = True) -> DataFrame:
-    """The first `limit` chunks of each document, with total_chunks unless that is not wanted."""
+def preview_chunks(chunks: DataFrame, limit: int | float | None = 10, id_col: str = "doc_id", with_total: bool = True) -> DataFrame:
+    """The first `limit` chunks of each document, with total_chunks unless that is not wanted.
+
+    The limit is clamped between 1 and the document's total; none and not a number count as 1.
+    """
+    shown = F.lit(limit).cast("double")
     if with_total:
         totals = chunks.groupBy(id_col).agg(F.count("*").alias("total_chunks"))
-        return chunks.where(F.col("chunk_index") < limit).join(totals, id_col)
-    return chunks.where(F.col("chunk_index") < limit)
+        return chunks.join(totals, id_col).where(F.col("chunk_index") < clamp(shown, F.col("total_chunks")))
+    return chunks.where(F.col("chunk_index") < clamp(shown, F.lit(2147483647)))
 
 
 def source_preview(docs: DataFrame, shown: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

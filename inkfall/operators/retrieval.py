@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +16,7 @@ from pyspark.sql import types as T
 from inkfall.functions.text import cosine
 
 PASSAGE_PREFIX, QUERY_PREFIX = "passage: ", "query: "
-BATCH, RETRIES = 32, 3
+BATCH, RETRIES, IN_FLIGHT = 32, 3, 4
 
 
 def metadata_filter(filters: dict | None, metadata_col: str = "metadata") -> Column:
@@ -25,27 +28,66 @@ def metadata_filter(filters: dict | None, metadata_col: str = "metadata") -> Col
     return out
 
 
-def embed_texts(df: DataFrame, text_col: str, provider: Callable[[list[str]], list[list[float]]], prefix: str = PASSAGE_PREFIX, batch: int = BATCH, retries: int = RETRIES, wait: float = 1.0) -> DataFrame:
-    """df with `vector`: the provider gets up to `batch` texts a call and is tried again with a growing wait."""
-    import time
+def passing(error: Exception) -> bool:
+    """Whether a provider's error may go away by itself: not a wrong key, model or input."""
+    return _kind_of(str(error)) not in ("auth", "not_found", "bad_request")
 
+
+def embed_texts(df: DataFrame, text_col: str, provider: Callable[[list[str]], list[list[float]]], prefix: str = PASSAGE_PREFIX, batch: int = BATCH, retries: int = RETRIES, wait: float = 1.0, in_flight: int = IN_FLIGHT) -> DataFrame:
+    """df with `vector`. The provider gets `batch` texts a call, whatever the sizes of Arrow's batches.
+
+    Each task keeps up to `in_flight` calls going at once and gives its rows in order, so it holds no
+    more than so many calls' rows. A call that fails is made again, with a wait that doubles, `retries`
+    times in all, unless its error says that this cannot help. The provider must bear calls from
+    several threads.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
 
     def call(texts: list[str]) -> list[list[float]]:
         for attempt in range(1, retries + 1):
             try:
-                return provider(texts)
+                vectors = provider(texts)
+                break
             except Exception as error:
-                if attempt == retries:
-                    raise RuntimeError(f"Embedding 失败，已重试 {retries} 次: {error}") from error
+                if attempt == retries or not passing(error):
+                    raise RuntimeError(f"Embedding 失败，已重试 {attempt} 次: {error}") from error
                 time.sleep(wait * 2 ** (attempt - 1))
-        return []
+        if len(vectors) != len(texts):
+            raise RuntimeError(f"the provider gave {len(vectors)} vectors for {len(texts)} texts")
+        return vectors
+
+    def full_calls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows in frames of one call each; only the last may be smaller."""
+        rest: list[pd.DataFrame] = []
+        held = 0
+        for frame in frames:
+            rest.append(frame)
+            held += len(frame)
+            if held >= batch:
+                whole = pd.concat(rest, ignore_index=True)
+                cut = held - held % batch
+                yield from (whole.iloc[i : i + batch] for i in range(0, cut, batch))
+                rest, held = [whole.iloc[cut:]], held - cut
+        if held:
+            yield pd.concat(rest, ignore_index=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [prefix + (t or "") for t in frame[text_col]]
-            vectors = [v for i in range(0, len(texts), batch) for v in call(texts[i : i + batch])]
-            yield frame.assign(vector=pd.Series(vectors, index=frame.index, dtype=object))
+        going: deque[tuple[pd.DataFrame, Future]] = deque()
+
+        def done() -> pd.DataFrame:
+            rows, vectors = going.popleft()
+            return rows.assign(vector=pd.Series(vectors.result(), index=rows.index, dtype=object))
+
+        pool = ThreadPoolExecutor(in_flight)
+        try:
+            for rows in full_calls(frames):
+                if len(going) == in_flight:
+                    yield done()
+                going.append((rows, pool.submit(call, [prefix + (t or "") for t in rows[text_col]])))
+            while going:
+                yield done()
+        finally:
+            pool.shutdown(cancel_futures=True)
 
     return df.mapInPandas(run, schema)
 
