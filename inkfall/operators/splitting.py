@@ -118,7 +118,7 @@ def recursive_character(df: DataFrame, params: dict | None = None, text_col: str
     """Chunks of text_col: chunk_index, text, metadata, char_start, char_end, beside the other columns.
 
     `native` splits by folds of column expressions, with the same rows: no Python worker starts, but the
-    JVM interprets the folds and takes about three times as long.
+    JVM interprets the folds and takes three times as long or more.
     """
     p = {"chunk_size": 500, "chunk_overlap": 50} | (params or {})
     size, overlap = int(p["chunk_size"]), int(p["chunk_overlap"])
