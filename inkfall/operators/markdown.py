@@ -1,4 +1,4 @@
-"""Chunks of Markdown by its headers, split in one Arrow batch at a time."""
+"""Chunks of Markdown by its headers, split in one Arrow batch at a time or by column expressions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkfall.operators.headings import markdown_sections
 from inkfall.operators.splitting import locate
 
 HEADERS = (("#", "Header 1"), ("##", "Header 2"), ("###", "Header 3"), ("####", "Header 4"))
@@ -70,8 +71,12 @@ def markdown_chunks(text: str, headers: list[tuple[str, str]], bare: bool) -> li
     return out
 
 
-def markdown_structure(df: DataFrame, params: dict | None = None, text_col: str = "text") -> DataFrame:
-    """Chunks of one header path each; metadata holds strip_headers and the open headers."""
+def markdown_structure(df: DataFrame, params: dict | None = None, text_col: str = "text", native: bool = True) -> DataFrame:
+    """Chunks of one header path each; metadata holds strip_headers and the open headers.
+
+    native is without Python, and is not taken where two marks have one name. It keeps code points
+    that are not assigned, which the other form leaves out of a line.
+    """
     p = {"strip_headers": False, "headers": HEADERS} | (params or {})
     headers, bare = [tuple(h) for h in p["headers"]], bool(p["strip_headers"])
 
@@ -79,5 +84,6 @@ def markdown_structure(df: DataFrame, params: dict | None = None, text_col: str
     def chunks(texts: pd.Series) -> pd.Series:
         return pd.Series([markdown_chunks(t or "", headers, bare) for t in texts], dtype=object)
 
-    kept = [c for c in df.columns if c != text_col]
-    return df.select(*kept, F.posexplode(chunks(F.col(text_col))).alias("chunk_index", "c")).select(*kept, "chunk_index", "c.text", "c.metadata", "c.char_start", "c.char_end")
+    kept = [f"`{c}`" for c in df.columns if c != text_col]
+    found = markdown_sections(text_col, headers, bare) if native and len({name for _, name in headers}) == len(headers) else chunks(F.col(text_col))
+    return df.select(*kept, F.posexplode(found).alias("chunk_index", "c")).select(*kept, "chunk_index", "c.text", "c.metadata", "c.char_start", "c.char_end")

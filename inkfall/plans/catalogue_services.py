@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfall.operators import splitting
+from inkfall.operators.markdown import markdown_structure
 from inkfall.plans import jobs, table_functions
 from inkfall.plans.catalogue import _PIECES, _SOLID, _query, _t
-from inkfall.plans.splitting_sql import splitting_sql
+from inkfall.plans.splitting_sql import _SPACES, splitting_sql
 from inkfall.plans.store import Store
 from inkfall.sources import shared
 
@@ -118,3 +119,49 @@ def q38_parents_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q39_recursive_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splitting by column expressions alone."""
     return splitting.recursive_character(_t(spark, sf_dir, "documents").select("doc_id", "text"), {"chunk_size": 300, "chunk_overlap": 100}, native=True).drop("metadata")
+
+
+def _by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as Markdown: the first letter of a line makes it a header, the end of a block of code, or neither."""
+    text = F.col("text")
+    for letters, mark in (("A-D", "# "), ("F-M", "## "), ("N-Z", "### "), ("E", "``` ")):
+        text = F.regexp_replace(text, f"(?md)^(?=[{letters}])", mark)
+    return _t(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@_query(rf"""
+WITH l AS (
+  SELECT doc_id, i, CASE WHEN regexp_matches(x, '^[A-D]') THEN '# ' || x WHEN regexp_matches(x, '^[F-M]') THEN '## ' || x WHEN regexp_matches(x, '^[N-Z]') THEN '### ' || x WHEN x LIKE 'E%' THEN '``` ' || x ELSE x END AS x
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+), c AS (
+  SELECT doc_id, i, regexp_replace(trim(x, {_SPACES}), '[\p{{Cc}}\p{{Cf}}\p{{Co}}\p{{Zl}}\p{{Zp}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]', '', 'g') AS x FROM l
+), f AS (
+  SELECT *, sum(CASE WHEN x LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS fenced FROM c
+), h AS (
+  SELECT *, CASE WHEN fenced THEN NULL WHEN x = '#' OR x LIKE '# %' THEN 1 WHEN x = '##' OR x LIKE '## %' THEN 2 WHEN x = '###' OR x LIKE '### %' THEN 3 END AS level FROM f
+), o AS (
+  SELECT *, max(CASE WHEN level = 1 THEN i END) OVER w AS i1, max(CASE WHEN level <= 2 THEN i END) OVER w AS i2, max(CASE WHEN level <= 3 THEN i END) OVER w AS i3,
+    sum(CASE WHEN level IS NOT NULL OR x = '' AND NOT fenced THEN 1 ELSE 0 END) OVER w AS paragraph
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), p AS (
+  SELECT doc_id, paragraph, min(i) AS i, max(i1) AS i1, max(i2) AS i2, max(i3) AS i3, string_agg(x, chr(10) ORDER BY i) AS part, arg_max(x, i) AS last
+  FROM o WHERE x <> '' OR fenced GROUP BY doc_id, paragraph
+), n AS (
+  SELECT p.*, a.x AS h1, CASE WHEN b.level = 2 THEN b.x END AS h2, CASE WHEN d.level = 3 THEN d.x END AS h3
+  FROM p LEFT JOIN h a ON a.doc_id = p.doc_id AND a.i = i1 LEFT JOIN h b ON b.doc_id = p.doc_id AND b.i = i2 LEFT JOIN h d ON d.doc_id = p.doc_id AND d.i = i3
+), t AS (
+  SELECT doc_id, i, part, last, trim(substr(h1, 2), {_SPACES}) AS h1, trim(substr(h2, 3), {_SPACES}) AS h2, trim(substr(h3, 4), {_SPACES}) AS h3 FROM n
+), m AS (
+  SELECT *, CASE WHEN h1 IS NULL THEN 0 ELSE 1 END + CASE WHEN h2 IS NULL THEN 0 ELSE 1 END + CASE WHEN h3 IS NULL THEN 0 ELSE 1 END AS depth FROM t
+), q AS (
+  SELECT *, CASE WHEN lag(i) OVER w IS NOT NULL AND (lag(h1) OVER w IS NOT DISTINCT FROM h1 AND lag(h2) OVER w IS NOT DISTINCT FROM h2 AND lag(h3) OVER w IS NOT DISTINCT FROM h3 OR lag(depth) OVER w < depth AND lag(last) OVER w LIKE '#%') THEN 0 ELSE 1 END AS begins
+  FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), r AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM q)
+SELECT doc_id, CAST(section - 1 AS INTEGER) AS chunk_index, string_agg(part, '  ' || chr(10) ORDER BY i) AS text, arg_max(struct_pack(h := h1), i).h AS h1, arg_max(struct_pack(h := h2), i).h AS h2, arg_max(struct_pack(h := h3), i).h AS h3
+FROM r GROUP BY doc_id, section
+""")
+def q40_markdown_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents under headers and with blocks of code, by column expressions alone."""
+    out = markdown_structure(_by_lines(spark, sf_dir))
+    of = lambda k: F.get_json_object("metadata", f"$['{k}']")
+    return out.select("doc_id", "chunk_index", "text", of("Header 1").alias("h1"), of("Header 2").alias("h2"), of("Header 3").alias("h3"))
