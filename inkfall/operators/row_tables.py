@@ -1,8 +1,8 @@
 """HTML tables, a sentence for each row.
 
-Each document's tables are parsed in one call: the heading gives context and column names, empty
+Each document's tables are parsed in one call: the heading gives context and column names. Then empty
 cells take the value above, references to other rows are spelled out, and each row is told by a
-template.
+template; table_rows.py does that by column expressions.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkfall.operators import table_rows
 from inkfall.operators.html import Element, cell_text, parse
 
 # Words by which a first column is known to name its rows.
@@ -102,20 +103,25 @@ def _read(table: Element, index: int, skip_empty: bool) -> Table | None:
         cells = cells[1:]
     if not named:
         return None
-    for column, header in enumerate(headers):
+    return Table(index, context, headers, cells, named)
+
+
+def fill_down(table: Table) -> Table:
+    """Empty cells take the value above."""
+    for column, header in enumerate(table.headers):
         above = ""
-        for line, by_name in zip(cells, named, strict=True):
+        for line, by_name in zip(table.cells, table.named, strict=True):
             if by_name.get(header, "") or not above:
                 above = by_name.get(header, "")
                 continue
             by_name[header] = above
             if column < len(line):
                 line[column] = above
-    return Table(index, context, headers, cells, named)
+    return table
 
 
-def read_tables(text: str, skip_empty: bool = True) -> list[Table]:
-    """All tables of a text, nested ones too; a table that can't be read is left out."""
+def parsed_tables(text: str, skip_empty: bool = True) -> list[Table]:
+    """All tables of a text as they stand, nested ones too; a table that can't be read is left out."""
     out = []
     for index, element in enumerate(parse(text).walk("table")):
         try:
@@ -127,6 +133,11 @@ def read_tables(text: str, skip_empty: bool = True) -> list[Table]:
     return out
 
 
+def read_tables(text: str, skip_empty: bool = True) -> list[Table]:
+    """All tables of a text, with empty cells filled."""
+    return [fill_down(table) for table in parsed_tables(text, skip_empty)]
+
+
 def _resolved(table: Table, text: str, row: int, column: int) -> str:
     """The cell with what it refers to: the row above, or a row by its number."""
 
@@ -220,10 +231,25 @@ def exploded(df: DataFrame, text_col: str, chunks_of) -> DataFrame:
     return rows.select(*kept, "chunk_index", "c.text", "c.metadata", F.lit(0).alias("char_start"), F.lit(0).alias("char_end"))
 
 
-def html_table(df: DataFrame, params: dict | None = None, text_col: str = "text") -> DataFrame:
+def html_table(df: DataFrame, params: dict | None = None, text_col: str = "text", native: bool = True) -> DataFrame:
+    """A chunk for each row of each table. native: Python parses only, and what rows say is told by column expressions."""
     p = {"enable_reference_resolution": True, "template_style": "default", "skip_empty_rows": True} | (params or {})
     references, style, skip = bool(p["enable_reference_resolution"]), p["template_style"], bool(p["skip_empty_rows"])
-    return exploded(df, text_col, lambda t: table_chunks(t, references, style, skip))
+    if not native:
+        return exploded(df, text_col, lambda t: table_chunks(t, references, style, skip))
+
+    @F.pandas_udf(table_rows.TABLES)
+    def tables(texts: pd.Series) -> pd.Series:
+        return pd.Series([[(t.index, t.context, t.headers, t.cells, [[n[h] for h in t.headers] for n in t.named]) for t in parsed_tables(text or "", skip)] for text in texts], dtype=object)
+
+    kept = [f"`{c}`" for c in df.columns if c != text_col]
+    held = "_tables"
+    while held in df.columns:
+        held = f"_{held}"
+    found = F.expr(table_rows.row_chunks(held, references, style == "primary_key_based", KEY_WORDS))
+    parsed = df.select(*kept, tables(F.col(f"`{text_col}`")).alias(held))
+    rows = parsed.select(*kept, F.posexplode(found).alias("chunk_index", "c"))
+    return rows.select(*kept, "chunk_index", "c.text", "c.metadata", F.lit(0).alias("char_start"), F.lit(0).alias("char_end"))
 
 
 def table_overview(df: DataFrame, params: dict | None = None, text_col: str = "text") -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkfall.operators import splitting
+from inkfall.operators import row_tables, splitting
 from inkfall.operators.markdown import markdown_structure
 from inkfall.plans import jobs, table_functions
-from inkfall.plans.catalogue import _PIECES, _SOLID, _query, _t
+from inkfall.plans.catalogue import _PIECES, _SOLID, _page, _query, _rows, _t
 from inkfall.plans.splitting_sql import _SPACES, splitting_sql
 from inkfall.plans.store import Store
 from inkfall.sources import shared
@@ -165,3 +165,19 @@ def q40_markdown_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = markdown_structure(_by_lines(spark, sf_dir))
     of = lambda k: F.get_json_object("metadata", f"$['{k}']")
     return out.select("doc_id", "chunk_index", "text", of("Header 1").alias("h1"), of("Header 2").alias("h2"), of("Header 3").alias("h3"))
+
+
+@_query("""
+WITH c AS (SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS k, row_number() OVER w - 1 AS i, lead(CAST(c_custkey AS VARCHAR)) OVER w AS next, lag(CAST(c_custkey AS VARCHAR)) OVER w AS above, lag(CAST(c_custkey AS VARCHAR), 2) OVER w AS second FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+n AS (SELECT *, CASE i % 4 WHEN 0 THEN 'note ' || k WHEN 1 THEN '同上（即：note ' || above || '）' WHEN 2 THEN '同' || (i - 1) || '行（即（' || second || '行）：note ' || second || '）' ELSE '见第' || (i + 2) || '行' || coalesce('（参考' || next || '行：note ' || next || '）', '') END AS note FROM c)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, '在Customers中，关于【' || k || '】的记录显示：note为' || note || '。' AS text, k AS id_number, note AS raw_note, CAST(i AS VARCHAR) AS row_index FROM n
+""")
+def q41_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a row of its nation's table, whose notes refer to the row above, to one before and to the next, by number."""
+    i = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    note = F.when(i % 4 == 0, F.concat(F.lit("note "), F.col("c_custkey"))).when(i % 4 == 1, "同上").when(i % 4 == 2, F.concat(F.lit("同"), i - 1, F.lit("行"))).otherwise(F.concat(F.lit("见第"), i + 2, F.lit("行")))
+    rows = _t(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", _rows(F.array(F.col("c_custkey").cast("string"), note)).alias("html"))
+    pages = _page(rows, "c_nationkey", "c_custkey", "<thead><tr><th colspan=2>Customers</th></tr><tr><th>id</th><th>note</th></tr></thead>")
+    out = row_tables.html_table(pages, {"template_style": "primary_key_based"})
+    of = lambda k: F.get_json_object("metadata", f"$.{k}")
+    return out.select("doc_id", "chunk_index", "text", of("numeric_fields.id").alias("id_number"), of("raw_data.note").alias("raw_note"), of("row_index").alias("row_index"))
