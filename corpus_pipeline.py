@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkfall.llm import exact_dedup, langid, mixing, packing, queries, simhash
-from inkfall.llm.common import written
+from inkfall.llm.common import spare_name, written
+
+#: Consecutive documents of the mixture that are packed together.
+WINDOW_DOCS = 4096
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +28,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, interleaved by the target weights of the sources that have some left, without repeats."""
+    """All documents, stored interleaved by the target weights of the sources that have some left, without repeats."""
     return mixing.mix(docs, queries.MIX_WEIGHTS, other=queries.MIX_OTHER, block_docs=queries.MIX_BLOCK, whole=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    """Pieces of the documents with their places in sequences of 4096 tokens, which follow the mixture window by window."""
+    position = spare_name(docs, "_position")
+    return packing.pack_in_order(mixing.in_order(docs, position), public_tokenizers.path("word_bpe_49k.json"), position, WINDOW_DOCS, capacity=4096, end_id=1)
 
 
 STAGES = [

@@ -14,7 +14,8 @@ mixture ends where a named source first cannot fill a block; documents beyond it
 but are not in the mixture. mix(whole=True) goes on past it: where the next block in turn is one
 that its source does not have, partial blocks counting as blocks, the other sources start a new
 schedule with what they have left, so that every document with a weight is in the mixture. Equal
-ids are ranked in any order. Other columns, whatever their names, are carried along.
+ids are ranked in any order. Other columns, whatever their names, are carried along. What follows
+the mixture reads its order from the files it is stored in, by in_order.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ import heapq
 import json
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, plain
+from .common import partitions, plain, written
 
 
 def period(weights: list[int]) -> list[list[int]]:
@@ -112,3 +114,27 @@ def mix(docs: DataFrame, weights: dict[str, int], **options) -> DataFrame:
     placed = placed.toDF(*[f"c{k}" for k in range(n)], "block", "release", "deadline", "slot", "position", "in_mix").where("in_mix")
     stored = placed.repartitionByRange(partitions(docs.sparkSession), "position").sortWithinPartitions("position")
     return stored.select(*[f"c{k}" for k in range(n)]).toDF(*docs.columns)
+
+
+def _in_files(docs: DataFrame, *names: str) -> DataFrame:
+    """docs under other names, with the number and path of each row's file and its place there."""
+    at = docs.metadataColumn("_metadata")
+    return docs.select("*", F.regexp_extract(at["file_name"], r"^part-(\d+)", 1).try_cast("long"), at["file_path"], at["row_index"]).toDF(*names, "part", "file", "row")
+
+
+def in_order(docs: DataFrame, position: str = "_position") -> DataFrame:
+    """docs as a stored mixture is read, with each row's place in it, from 0 and gapless, as a last column.
+
+    The order is that of the numbers in Spark's file names, and in a file that of its rows. A table
+    that was not read from Parquet files is stored first, in the order of its partitions.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    try:
+        rows = _in_files(docs, *names)
+    except AnalysisException:
+        rows = _in_files(written(docs, "mix-order"), *names)
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("part", "file").count()  # a row for each file
+    bases = files.select(F.col("file").alias("f"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    placed = rows.join(F.broadcast(bases), F.col("file") == F.col("f"))
+    return placed.select(*names, F.col("base") + F.col("row")).toDF(*docs.columns, position)

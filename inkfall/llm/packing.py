@@ -6,6 +6,9 @@ dominance reduction of Martello and Toth fixes sets that are at least as good as
 their largest document, then best fit decreasing places the remainder. Its answer is a short list
 of patterns with how often each is used. Documents take their places in it by their rank among the
 documents sorted by length, which a range partitioning and prefix sums over partitions give.
+
+pack_in_order packs documents that have an order, such as that of a mixture: the same is done for
+each window of so many consecutive documents, and the sequences are numbered window by window.
 """
 
 from __future__ import annotations
@@ -189,8 +192,15 @@ def _runs(patterns: list[Pattern], counts: dict[int, int]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 6)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]): each document's ids and the end id, cut at the capacity.
+def _places(runs: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences and offsets of documents by their ranks."""
+    at = runs[np.searchsorted(runs[:, 0], rank, side="right") - 1] if len(rank) else np.zeros((0, 6), np.int64)
+    i = rank - at[:, 0]
+    return at[:, 4] + i // np.maximum(at[:, 2], 1), at[:, 5] + i % np.maximum(at[:, 2], 1) * at[:, 3]
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, position_col: str | None = None) -> DataFrame:
+    """(id, piece, start, length, ids_crc32[, ids][, position]): each document's ids and the end id, cut at the capacity.
 
     A null text is empty: one piece with the end id alone. Only documents longer than a sequence
     are cut; all pieces but the last fill one.
@@ -210,13 +220,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
                     if with_ids:
                         cut.append(part)
             columns = list(zip(*rows, strict=True)) or [[]] * 4
-            out = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])]
-            names = ["id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(cut, pa.binary())] if with_ids else out, names=[*names, "ids"] if with_ids else names)
+            rows_of = pa.array(at, pa.int64())
+            out = [batch.column(0).take(rows_of), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])]
+            out += [pa.array(cut, pa.binary())] * with_ids + [c.take(rows_of) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    position = [F.col(position_col).cast("long").alias("position")] if position_col else []
+    names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, *["position"] * len(position)]
+    schema = _piece_schema(docs, id_col, with_ids) + ", position long" * len(position)
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col), *position).mapInArrow(run, schema)
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(run, schema)
+def _piece_schema(docs: DataFrame, id_col: str, with_ids: bool) -> str:
+    return f"id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -237,19 +253,44 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     base = dict(zip([p for p, _ in sizes], np.cumsum([0, *(n for _, n in sizes)]).tolist(), strict=False))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = runs.value
         for batch in batches:
             row = batch.column("_row").to_numpy(zero_copy_only=False)
             part = row >> 33
             seen = np.unique(part)
             first = np.array([base[int(p)] for p in seen], dtype=np.int64)
             rank = first[np.searchsorted(seen, part)] + (row & ((1 << 33) - 1)) if len(row) else row
-            at = table[np.searchsorted(table[:, 0], rank, side="right") - 1] if len(row) else np.zeros((0, 6), np.int64)
-            i = rank - at[:, 0]
-            extra = [pa.array(at[:, 4] + i // np.maximum(at[:, 2], 1)), pa.array(at[:, 5] + i % np.maximum(at[:, 2], 1) * at[:, 3])]
+            extra = [pa.array(x) for x in _places(runs.value, rank)]
             kept = [k for k, name in enumerate(batch.schema.names) if name not in ("_row", "_part")]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *extra], names=[*(batch.schema.names[k] for k in kept), "sequence_id", "offset"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
+    schema = _piece_schema(docs, id_col, with_ids) + ", sequence_id long, offset long"
     return sorted_.drop("_part").mapInArrow(place, schema).withColumnRenamed("id", id_col)
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, position_col: str, window_docs: int, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """The pieces of all documents, each with sequence_id and its offset there, packed in the order of a position.
+
+    Documents whose position div window_docs is the same form a window. A sequence holds documents
+    of one window alone, and sequence_id, which is window * 2^32 + the sequence's number in it,
+    ascends with the windows and in them with the first document's position. Documents of one length
+    are dealt by position. A window is one group: window_docs rows and one for each full sequence.
+    """
+    window = F.expr(f"position div {int(window_docs)}")
+
+    def place(table: pa.Table) -> pa.Table:
+        length, position, piece = (table.column(c).to_numpy() for c in ("length", "position", "piece"))
+        sizes, n = np.unique(length, return_counts=True)
+        counts = dict(zip(sizes.tolist(), n.tolist(), strict=True))
+        rank = np.empty(len(length), np.int64)
+        rank[np.lexsort((piece, position, length))] = np.arange(len(length))
+        sequence, offset = _places(_runs(packed(counts, capacity), counts), rank)
+        first = np.full(sequence.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, sequence, position)
+        number = np.empty(len(first), np.int64)
+        number[np.argsort(first, kind="stable")] = np.arange(len(first))
+        ids = (position[0] // window_docs << 32) + number[sequence]
+        return table.drop_columns(["position"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
+
+    schema = _piece_schema(docs, id_col, with_ids) + ", sequence_id long, offset long"
+    cut = pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids, position_col)
+    return cut.groupBy(window).applyInArrow(place, schema).withColumnRenamed("id", id_col)

@@ -89,3 +89,19 @@ def test_names_of_the_operator_are_free(spark):
     docs = spark.createDataFrame(rows, ["doc_id", "source", *names])
     mixed = mixing.mix(docs, {"a": 2}, block_docs=4, whole=True)
     assert mixed.columns == docs.columns and sorted(map(tuple, mixed.collect())) == rows
+
+
+def test_order_is_read_from_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i}", "ab"[i % 3 % 2], "own") for i in range(500)], "doc_id long, part string, source string, _metadata string")
+    want = [r.doc_id for r in mixing.schedule(docs, {"a": 1, "b": 3}, block_docs=2, whole=True).orderBy("_position").collect()]
+    mixing.mix(docs, {"a": 1, "b": 3}, block_docs=2, whole=True).write.option("maxRecordsPerFile", 60).parquet(f"{tmp_path}/a")
+    stored = spark.read.parquet(f"{tmp_path}/a")
+    rows = mixing.in_order(stored).collect()
+    assert len(stored.inputFiles()) > 8 and rows[0].asDict().keys() == {"doc_id", "part", "source", "_metadata", "_position"}
+    assert [(r._position, r.doc_id, r._metadata) for r in sorted(rows, key=lambda r: r._position)] == [(k, i, "own") for k, i in enumerate(want)]
+    rows = mixing.in_order(mixing.mix(docs, {"a": 1, "b": 3}, block_docs=2, whole=True)).collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r._position)] == want
+    stored.where("doc_id < 100").write.parquet(f"{tmp_path}/b/k=1")
+    stored.where("doc_id >= 100").write.parquet(f"{tmp_path}/b/k=2")
+    rows = mixing.in_order(spark.read.parquet(f"{tmp_path}/b")).collect()
+    assert sorted(r._position for r in rows) == list(range(500)) and {r.doc_id for r in rows} == set(range(500))

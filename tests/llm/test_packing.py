@@ -152,3 +152,28 @@ def test_pack(spark):
     assert len(by_doc[None]) == 1 and by_doc[500][0][2] == (1).to_bytes(4, "little")
     assert len(by_doc[7]) >= 3
     assert packing.pack(docs.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_pack_in_order(spark):
+    random.seed(4)
+    rows = [(random.choice([None, i, i // 2]), " ".join(random.choices(["alpha", "beta!", "gamma"], k=random.choice([0, 1, 5, 60, 61, 200, 900]))), 3 * i) for i in range(150)]
+    docs = spark.createDataFrame([*rows, (9, None, 450)], "doc_id long, text string, at long")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = packing.pack_in_order(docs, path, "at", 90, capacity=128, with_ids=True).collect()
+    ids, want = encoder(path).ids, []
+    for doc_id, text, at in [*rows, (9, "", 450)]:
+        data = ids(text.encode()) + (1).to_bytes(4, "little")
+        want += [(at // 90, str(doc_id), k // 512, k // 4, data[k : k + 512]) for k in range(0, len(data), 512)]
+    assert sorted((r.sequence_id >> 32, str(r.doc_id), r.piece, r.start, bytes(r.ids)) for r in out) == sorted(want)
+    by_sequence, used = {}, {}
+    for r in out:
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        used[r.sequence_id >> 32] = used.get(r.sequence_id >> 32, 0) + r.length
+    for places in by_sequence.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 128
+    for window, tokens in used.items():
+        numbers = sorted(s & 0xFFFFFFFF for s in by_sequence if s >> 32 == window)
+        assert numbers == list(range(len(numbers))) and len(numbers) <= 1.1 * tokens / 128 + 1
+    assert packing.pack_in_order(docs.limit(0), path, "at", 90).count() == 0

@@ -4,7 +4,7 @@ import zlib
 
 import corpus_pipeline
 import public_tokenizers
-from inkfall.llm import langid
+from inkfall.llm import langid, mixing, queries
 from tokenizers import Tokenizer
 
 from .test_langid import _text
@@ -117,3 +117,20 @@ def test_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         found = stage(spark, docs, "")
         assert found.count() == 0 and (name == "best_fit_packing" or found.columns == docs.columns)
+
+
+def test_sequences_follow_the_mixture(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "WINDOW_DOCS", 64, raising=False)
+    # Sources differ in ids and lengths, by which documents were packed whatever their mixture.
+    docs = spark.createDataFrame([(i, "word " * (40 * (i // 100) + 5 + i % 7), None, f"src{i // 100}") for i in range(400)], "doc_id long, text string, lang string, source string")
+    stages = dict(corpus_pipeline.STAGES)
+    stages["mixing"](spark, docs, "").write.parquet(f"{tmp_path}/mixing")
+    packed = stages["best_fit_packing"](spark, spark.read.parquet(f"{tmp_path}/mixing"), "").collect()
+    order = [r.doc_id for r in mixing.schedule(docs, queries.MIX_WEIGHTS, queries.MIX_OTHER, queries.MIX_BLOCK, whole=True).orderBy("_position").collect()]
+    assert sorted(r.doc_id for r in packed) == list(range(400))
+    sequence = {r.doc_id: r.sequence_id for r in packed}
+    windows = [order[k : k + 64] for k in range(0, 400, 64)]
+    for some, later in zip(windows, windows[1:], strict=False):
+        assert max(sequence[i] for i in some) < min(sequence[i] for i in later)
+    for some in windows[:6]:  # four sources of equal weights, in blocks of 16
+        assert sorted(i // 100 for i in some) == [k for k in range(4) for _ in range(16)]
