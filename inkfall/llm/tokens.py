@@ -2,17 +2,19 @@
 
 Both tokenizers cut a text into pre-tokens that never reach over the start of a run of white
 space, so a text's ids are those of its words one after another. Each Python worker keeps the ids
-of words it has met, up to CACHE_WORDS of them, and asks the library only for new ones.
+of words it has met, up to a multiple of CACHE_WORDS of them, and asks the library only for new ones.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from codecs import charmap_decode
+from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker keeps; a full cache is emptied.
+#: Words whose ids a worker keeps; of a full cache, the half that came first stays, which has the frequent words.
 CACHE_WORDS = 400_000
 
 #: Unicode's White_Space, which is what \s means to the tokenizers.
@@ -20,7 +22,7 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 _UNIT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+$")
 #: Beginnings of the UTF-8 forms of white space beyond ASCII.
 _FAR_WHITE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-_PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def _byte_letters() -> list[str]:
@@ -30,56 +32,62 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(far)) for b in range(256)]
 
 
-_LETTER = _byte_letters()
+_LETTERS = "".join(_byte_letters())
 
 
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+class _Cache(dict):
+    """cache[key] is make(key), kept for up to `most` keys."""
+
+    def __init__(self, make: Callable[[bytes], bytes], most: int) -> None:
+        super().__init__()
+        self.make = make
+        self.most = most
+        self.first: dict[bytes, bytes] = {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        found = self[key] = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.first)
+        elif len(self) == self.most // 2 and not self.first:
+            self.first = dict(self)
+        return found
+
+
 class Encoder:
     """ids(text in UTF-8) as little-endian unsigned 32-bit integers, without special tokens."""
 
+    cache_words = CACHE_WORDS
+
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.model = self.library.model
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = _Cache(self._new, self.cache_words)
+        self.parts = _Cache(self._part, self.cache_words)
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _part(self, text: str) -> bytes:
+    def _part(self, part: bytes) -> bytes:
         """Ids of one pre-token."""
-        ids = self.parts.get(text)
-        if ids is None:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            word = "".join([_LETTER[b] for b in text.encode()])
-            ids = self.parts[text] = _packed([t.id for t in self.model.tokenize(word)])
-        return ids
+        return _packed([t.id for t in self.model.tokenize(charmap_decode(part, "strict", _LETTERS)[0])])
 
-    def _plain(self, word: str) -> tuple[str, str] | None:
+    def _plain(self, word: bytes) -> tuple[bytes, bytes] | None:
         """Letters and punctuation of a word made of Latin-1 letters and ASCII punctuation after them."""
         letters = word.rstrip(_PUNCTUATION)
-        if letters.isalpha() and max(letters) < "Ā":
+        if letters.isalpha() or not letters.isascii() and (text := letters.decode()).isalpha() and max(text) < "Ā":
             return letters, word[len(letters) :]
         return None
 
     def _looked_up(self, words: list[bytes]) -> bytes:
-        found = list(map(self.words.get, words))
-        if None in found:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    word = words[i]
-                    ids = self.words.get(word)
-                    found[i] = self.words.setdefault(word, self._new(word.decode())) if ids is None else ids
-        return b"".join(found)
-
-    def _new(self, word: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _new(self, word: bytes) -> bytes:
         raise NotImplementedError
 
 
@@ -89,16 +97,19 @@ class WordEncoder(Encoder):
     def ids(self, data: bytes) -> bytes:
         return self._looked_up(data.split())
 
-    def _new(self, word: str) -> bytes:
+    def _new(self, word: bytes) -> bytes:
         plain = self._plain(word)
         if not plain:
-            return self._whole(word)
+            return self._whole(word.decode())
         letters, rest = plain
-        return self._part(letters.lower()) + (self._part(rest) if rest else b"")
+        head = self.parts[letters.lower() if letters.isascii() else letters.decode().lower().encode()]
+        return head + self.parts[rest] if rest else head
 
 
 class ByteEncoder(Encoder):
-    """For byte-level BPE, in which a word takes one space before it along."""
+    """For byte-level BPE, in which a word takes one space before it along. Upper case makes more words."""
+
+    cache_words = 2 * CACHE_WORDS
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
@@ -110,12 +121,12 @@ class ByteEncoder(Encoder):
         even = n > 0 and spaces + lines == n - 1 and not (data[:1].isspace() or data[-1:].isspace())
         if even and (data.isascii() or not any(x in data for x in _FAR_WHITE)) and not any(x in data for x in (b"\t", b"\r", b"\x0b", b"\x0c")):
             words = data.replace(b"\n", b" \n").split(b" ")
-            return self._first(words[0].decode()) + self._looked_up(words[1:])
+            return self._first(words[0]) + self._looked_up(words[1:])
         return b"".join([self._unit(u) for u in _UNIT.findall(data.decode())])
 
-    def _first(self, word: str) -> bytes:
+    def _first(self, word: bytes) -> bytes:
         plain = self._plain(word)
-        return b"".join(self._part(x) for x in plain if x) if plain else self._whole(word)
+        return b"".join(self.parts[x] for x in plain if x) if plain else self._whole(word.decode())
 
     def _unit(self, unit: str) -> bytes:
         ids = self.units.get(unit)
@@ -125,15 +136,15 @@ class ByteEncoder(Encoder):
             ids = self.units[unit] = self._whole(unit)
         return ids
 
-    def _new(self, word: str) -> bytes:
+    def _new(self, word: bytes) -> bytes:
         """A word after one space, or after one line break if it begins with that."""
-        line = word[:1] == "\n"
-        plain = self._plain(word[line:])
+        line = word[:1] == b"\n"
+        plain = self._plain(word[1:] if line else word)
         if not plain:
-            return self._whole(word if line else f" {word}")
+            return self._whole(word.decode() if line else f" {word.decode()}")
         letters, rest = plain
-        head = self._part("\n") + self._part(letters) if line else self._part(f" {letters}")
-        return head + (self._part(rest) if rest else b"")
+        head = self.parts[b"\n"] + self.parts[letters] if line else self.parts[b" " + letters]
+        return head + self.parts[rest] if rest else head
 
 
 #: What a short cut must encode as the library does before it is used.

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from inkfall.llm import packing
+from inkfall.llm import packing, tokens
 from inkfall.llm.tokens import encoder
 
 TEXTS = [
@@ -30,6 +30,29 @@ def test_ids_are_the_librarys(name):
         assert np.frombuffer(ids(text.encode()), "<u4").tolist() == want, repr(text)
 
 
+@pytest.mark.parametrize(("kind", "name"), [("WordEncoder", "word_bpe_49k.json"), ("ByteEncoder", "byte_bpe_50k.json")])
+def test_a_full_cache_keeps_frequent_words(kind, name, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 200)
+    made = []
+
+    class Counted(getattr(tokens, kind)):
+        cache_words = 200
+
+        def _new(self, word):
+            made.append(word.decode() if isinstance(word, bytes) else word)
+            return super()._new(word)
+
+    path = public_tokenizers.path(name)
+    counted, whole = Counted(path), tokens.WholeEncoder(path)
+    random.seed(7)
+    rare = ["".join(random.choices("abcdéÉ", k=9)) + random.choice(["", ",", "%%%"]) for _ in range(3000)]
+    for k in range(0, 3000, 10):
+        text = " ".join(["The", "cat", "sat,", "naïve", *rare[k : k + 10], "the\nCat"])
+        assert counted.ids(text.encode()) == whole.ids(text.encode())
+    assert all(made.count(w) <= 1 for w in ("the", "cat", "sat,", "naïve", "\nCat")) and len(made) > 2900
+    assert len(counted.words) <= 200 and len(counted.parts) <= 200
+
+
 def _least(sizes, capacity):
     """Fewest sequences, by trying all."""
     best = len(sizes)
