@@ -17,6 +17,9 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Largest table, in bytes, that an operator sends to every executor.
 BROADCAST_BYTES = 16 << 20
 
+#: Rows of an Arrow batch where each row holds a whole text or its shingles.
+TEXT_ROWS = 500
+
 _own_base: list[str] = []
 
 

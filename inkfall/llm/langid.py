@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain, spare_name
+from .common import TEXT_ROWS, plain, small_batches, spare_name, written
 
 ORDER = 5
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 400, 20_000, 4000
@@ -266,7 +266,11 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
+    """The documents that are not rejected, with their own columns.
+
+    They are written on the way, so that few texts at a time pass to Python and back.
+    """
     own, (id_, text, lang) = plain(docs, id_col, text_col, lang_col)
     found = identify(own, learn(own, id_, text, lang), text).where(~F.col("_rejected"))
-    return found.select(*own.columns).toDF(*docs.columns)
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        return written(found.select(*own.columns), "language-kept").toDF(*docs.columns)

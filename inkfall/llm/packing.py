@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of, written
-from .tokens import encoder
+from .common import TEXT_ROWS, partitions, small_batches, text_of, written
+from .tokens import Sent
 
 
 @dataclass
@@ -206,9 +206,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     are cut; all pieces but the last fill one.
     """
     end = int(end_id).to_bytes(4, "little")
+    sent = docs.sparkSession.sparkContext.broadcast(Sent(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).ids
+        encode = sent.value.encoder().ids
         for batch in batches:
             at, rows, cut = [], [], []
             for i, data in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
@@ -292,5 +293,6 @@ def pack_in_order(docs: DataFrame, tokenizer: str, position_col: str, window_doc
         return table.drop_columns(["position"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
 
     schema = _piece_schema(docs, id_col, with_ids) + ", sequence_id long, offset long"
-    cut = pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids, position_col)
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        cut = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids, position_col), "pack-pieces")
     return cut.groupBy(window).applyInArrow(place, schema).withColumnRenamed("id", id_col)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import partitions, plain, small_batches, text_of, written
+from .common import TEXT_ROWS, partitions, plain, small_batches, text_of, written
 from .components import components
 
 #: Above this many fingerprints a shard is cut again by blocks of its remaining bits.
@@ -242,8 +242,6 @@ SEEDS = 2
 #: Keys of a text, each of the least hashes under BAND_ROWS orders of its shingles: two texts of a
 #: similarity of 0.8 have some key in common but for 1 - (1 - 0.8^7)^40, less than once in 10,000.
 BANDS, BAND_ROWS = 40, 7
-#: Rows of a batch where each row holds a text or its shingles.
-BATCH_ROWS = 500
 #: Bits of the parities of a set of shingles; see parities().
 PARITIES = 1024
 
@@ -346,7 +344,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, si
 
     likely = written(met(pairs, rows, "n", "bits").mapInArrow(able, f"id {kind}, other {kind}"), "near-likely")
     ids = likely.select(F.col("id").alias("_id")).union(likely.select("other")).distinct()
-    with small_batches(docs.sparkSession, BATCH_ROWS):
+    with small_batches(docs.sparkSession, TEXT_ROWS):
         sets = written(_sets(docs.join(ids, F.col(id_col) == F.col("_id"), "left_semi"), size, id_col, text_col), "near-sets")
         return written(met(likely, sets, "shingles").mapInArrow(alike, f"id {kind}, other {kind}"), "near-confirmed")
 
@@ -419,7 +417,7 @@ def near_copies(docs: DataFrame, size: int = 5, radius: int = 4, seeds: int = SE
     """
     docs = docs.where(F.col(id_col).isNotNull())
     kind = docs.schema[id_col].dataType.simpleString()
-    with small_batches(docs.sparkSession, BATCH_ROWS):
+    with small_batches(docs.sparkSession, TEXT_ROWS):
         rows = written(_sketched(docs, size, seeds, id_col, text_col), "near-rows")
     marks = rows.select("id", F.posexplode("fps").alias("seed", "fp"))
     classes = written(marks.groupBy("seed", "fp").agg(F.min("id").alias("least")), "near-classes")

@@ -11,6 +11,7 @@ import re
 from array import array
 from codecs import charmap_decode
 from collections.abc import Callable
+from itertools import islice
 
 from tokenizers import Tokenizer
 
@@ -46,15 +47,13 @@ class _Cache(dict):
         super().__init__()
         self.make = make
         self.most = most
-        self.first: dict[bytes, bytes] = {}
 
     def __missing__(self, key: bytes) -> bytes:
         found = self[key] = self.make(key)
         if len(self) >= self.most:
+            first = dict(islice(self.items(), self.most // 2))
             self.clear()
-            self.update(self.first)
-        elif len(self) == self.most // 2 and not self.first:
-            self.first = dict(self)
+            self.update(first)
         return found
 
 
@@ -63,8 +62,9 @@ class Encoder:
 
     cache_words = CACHE_WORDS
 
-    def __init__(self, path: str) -> None:
-        self.library = Tokenizer.from_file(path)
+    def __init__(self, path: str, library: Tokenizer | None = None) -> None:
+        self.path = path
+        self.library = library or Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.model = self.library.model
         self.words = _Cache(self._new, self.cache_words)
@@ -111,8 +111,8 @@ class ByteEncoder(Encoder):
 
     cache_words = 2 * CACHE_WORDS
 
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    def __init__(self, path: str, library: Tokenizer | None = None) -> None:
+        super().__init__(path, library)
         self.units: dict[str, bytes] = {}
 
     def ids(self, data: bytes) -> bytes:
@@ -160,15 +160,39 @@ class WholeEncoder(Encoder):
         return self._whole(data.decode())
 
 
+def new_encoder(path: str) -> Encoder:
+    """An encoder for a tokenizer file: a short cut that agrees with the library on _PROBES, or the library."""
+    whole = WholeEncoder(path)
+    for short in (ByteEncoder, WordEncoder):
+        some = short(path, whole.library)
+        if all(some.ids(p.encode()) == whole.ids(p.encode()) for p in _PROBES):
+            return some
+    return whole
+
+
 def encoder(path: str) -> Encoder:
-    """This process's encoder for a tokenizer file: a short cut that agrees with the library on _PROBES, or the library."""
+    """This process's encoder for a tokenizer file, kept as long as the process is."""
     if path not in _encoders:
-        whole = WholeEncoder(path)
-        for short in (ByteEncoder, WordEncoder):
-            some = short(path)
-            if all(some.ids(p.encode()) == whole.ids(p.encode()) for p in _PROBES):
-                break
-        else:
-            some = whole
-        _encoders[path] = some
+        _encoders[path] = new_encoder(path)
     return _encoders[path]
+
+
+class Sent:
+    """A tokenizer file's encoder as the value of a broadcast variable, which brings the path alone.
+
+    A Python worker makes the encoder in the first task that uses the variable and keeps it for the
+    tasks that follow; with the first task that does not use the variable, Spark takes it from the
+    worker. So the caches of one job take no memory in the stages of others.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+        self._encoder: Encoder | None = None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "_encoder": None}
+
+    def encoder(self) -> Encoder:
+        if self._encoder is None:
+            self._encoder = new_encoder(self.path)
+        return self._encoder

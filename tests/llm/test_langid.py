@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from inkfall.llm import langid
+from inkfall.llm.common import written
 
 SYLLABLES = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "ei", "un", "ge"], "zz": ["ó", "ñi", "la", "el"]}
 
@@ -104,6 +105,16 @@ def test_identify(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_kept_documents_pass_few_texts_at_a_time(spark, monkeypatch):
+    seen, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(langid, "written", lambda df, to: seen.append(spark.conf.get(name)) or written(df, to))
+    random.seed(8)
+    rows = [(i, _text("xx", 8), "xx") for i in range(1200)]
+    before = spark.conf.get(name)
+    assert langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)).count() > 1100
+    assert seen == ["500"] and spark.conf.get(name) == before
+
+
 def test_a_language_of_long_texts_only(spark, monkeypatch):
     random.seed(4)
     monkeypatch.setattr(langid, "SAMPLE_CHARS", 50)

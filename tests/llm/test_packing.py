@@ -1,14 +1,17 @@
 import random
+import shutil
 import time
 import zlib
 from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from inkfall.llm import packing, tokens
+from inkfall.llm.common import written
 from inkfall.llm.tokens import encoder
 
 TEXTS = [
@@ -200,3 +203,31 @@ def test_pack_in_order(spark):
         numbers = sorted(s & 0xFFFFFFFF for s in by_sequence if s >> 32 == window)
         assert numbers == list(range(len(numbers))) and len(numbers) <= 1.1 * tokens / 128 + 1
     assert packing.pack_in_order(docs.limit(0), path, "at", 90).count() == 0
+
+
+def test_caches_leave_the_workers_with_the_job(spark, tmp_path):
+    path = str(tmp_path / "words.json")
+    shutil.copy(public_tokenizers.path("word_bpe_49k.json"), path)
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('word ', id, ' of a text') as text", "id as at").repartition(8)
+    assert packing.pack_in_order(docs, path, "at", 20).count() == 40 and packing.pack(docs, path).count() == 40
+
+    def held(batches):
+        import gc
+
+        from inkfall.llm import tokens
+
+        own = path in tokens._encoders or any(isinstance(x, tokens.Encoder) and x.path == path for x in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([own] * batch.num_rows, pa.bool_())], names=["held"])
+
+    others = spark.range(0, 40, 1, 8).mapInArrow(held, "held boolean").collect()
+    assert len(others) == 40 and not any(r.held for r in others)
+
+
+def test_pieces_in_order_are_cut_from_few_texts_at_a_time(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing, "written", lambda df, name: seen.append((name, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or written(df, name))
+    docs = spark.range(1200).selectExpr("id as doc_id", "repeat('word ', 3) as text", "id as at").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert packing.pack_in_order(docs, public_tokenizers.path("word_bpe_49k.json"), "at", 500).count() == 1200
+    assert seen == [("pack-pieces", "500")] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
