@@ -1,27 +1,21 @@
-"""What rows of parsed tables say, as column expressions: filled cells, references, templates, numbers.
+"""What rows of tables say, as column expressions: templates, numbers, metadata.
 
-A parsed table is struct<index, context, headers, cells, named>: `cells` by place, `named` the values by
-header, where of headers that repeat the last cell counts. Only parsing needs Python; all that follows
-stays in the row of its document, so nothing is shuffled.
+Tables come as row_tables.py reads them, cells filled and references spelled out: `rows` are values by
+header, where of headers that repeat the last cell counts. Each row of a table is a row of the DataFrame
+before anything is told of it, so a table takes time in proportion to its rows; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from inkfall.functions.text import wide_space
 from inkfall.operators.folds import _bound, _strip, quoted
-from inkfall.operators.headings import _scan
 
-TABLES = "array<struct<index: int, context: string, headers: array<string>, cells: array<array<string>>, named: array<array<string>>>>"
+TABLES = "array<struct<index: int, context: string, headers: array<string>, first: int, rows: array<array<string>>>>"
 
-# Forms of references to other rows and of numbers, as the JVM reads them.
-SAME_ABOVE = "^(同[上]|同上|同前|如上)$"
-SAME_AS_ROW = wide_space(r"^(?:特征)?同\s*([0-9]+)\s*(?:层|行|排)?$")
-SEE_ROW = wide_space(r"(?d)^[见参][见考]?(?:第)?\s*([0-9]+)\s*(?:层|行|排)?.*$")
+# Forms of numbers, as the JVM reads them.
 NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 NUMBER_WITH_UNIT = wide_space(r"^(-?[0-9]+(?:\.[0-9]+)?)\s*[a-zA-Z一-鿿]+$")
 
-_ROWS = "cast(array() as array<array<string>>)"
-
 
 def _digits(word: str) -> str:
     """Full-width digits as ASCII ones."""
@@ -34,57 +28,16 @@ def _told(text: str) -> str:
     return f"if({text} rlike {quoted(r'["\\\x00-\x1f]')}, {escaped}, concat('\"', {text}, '\"'))"
 
 
-def filled(table: str) -> str:
-    """The table whose empty cells take the value above. Of columns of one name the first takes it by place."""
-    down = "zip_with(x, a.s, (v, w) -> if(v <> '', v, w))"
-    named = _scan(f"{table}.named", f"array_repeat('', size({table}.headers))", "array<string>", _bound(down, "f", "named_struct('s', f, 'out', array_append(a.out, f))"))
-    first = f"array_position({table}.headers, get({table}.headers, c)) = c + 1"
-    takes = f"c < size({table}.headers) and {first} and get(get({table}.named, r), c) = '' and get(get(down, r), c) <> ''"
-    cells = f"transform({table}.cells, (line, r) -> transform(line, (v, c) -> if({takes}, get(get(down, r), c), v)))"
-    return _bound(named, "down", f"named_struct('index', {table}.index, 'context', {table}.context, 'headers', {table}.headers, 'cells', {cells}, 'named', down)")
-
-
-def _spelled(table: str, text: str, column: str, own: str) -> str:
-    """A cell with what it refers to. d is the rows done, so size(d) is this row's place; `own` is this row as far as it is known."""
-    row = f"case when at < size(d) then get(d, cast(at as int)) when at = size(d) then {own} else get({table}.cells, cast(at as int)) end"
-    target, name = _strip(f"get(y, {column})"), _strip("get(y, 0)")
-    of = "if(n <> '', concat({}, n, {}), '')".format
-    same = f"concat({text}, '（即', {of(quoted('（'), quoted('行）'))}, '：', v, '）')"
-    see = f"concat({text}, '（参考', {of(quoted(''), quoted('行'))}, '：', v, '）')"
-    told = _bound(f"coalesce({target}, '')", "v", _bound(f"coalesce({name}, '')", "n", f"if(v = '', {text}, if(same, {same}, {see}))"))
-    number = f"try_cast(regexp_extract(word, if(same, {quoted(SAME_AS_ROW)}, {quoted(SEE_ROW)}), 1) as bigint) - 1"
-    numbered = _bound(number, "at", f"if(at is null or at < 0 or at >= size({table}.cells), {text}, {_bound(row, 'y', told)})")
-    above = _bound(f"coalesce({_strip(f'get(get(d, size(d) - 1), {column})')}, '')", "v", f"if(v <> '', concat({text}, '（即：', v, '）'), {text})")
-    kind = f"case when word rlike {quoted(SAME_ABOVE)} then {above} when same or word rlike {quoted(SEE_ROW)} then {numbered} else {text} end"
-    return _bound(_digits(_strip(text)), "word", _bound(f"word rlike {quoted(SAME_AS_ROW)}", "same", kind))
-
-
-def resolved(table: str) -> str:
-    """The table with references to other rows spelled out, row by row, so that later ones see what earlier ones became."""
-    head = _spelled(table, "get(line, 0)", "0", "line")
-    rest = _spelled(table, "z", "i", "concat(array(h), slice(line, 2, size(line)))")
-    row = _bound(head, "h", f"transform(line, (z, i) -> if(i = 0, h, {rest}))")
-    cells = f"aggregate({table}.cells, {_ROWS}, (d, line) -> array_append(d, {row}))"
-    # Of columns of one name, the last that changed gives the value by name.
-    changed = f"filter(sequence(0, size({table}.headers) - 1), c -> get({table}.headers, c) = get({table}.headers, j) and get(get(new, r), c) <> get(get({table}.cells, r), c))"
-    last = f"get(get(new, r), try_element_at({changed}, -1))"
-    named = f"transform({table}.named, (vs, r) -> transform(vs, (v, j) -> coalesce({last}, v)))"
-    out = f"named_struct('index', {table}.index, 'context', {table}.context, 'headers', {table}.headers, 'cells', new, 'named', {named})"
-    refers = f"exists({table}.cells, line -> exists(line, z -> z rlike '[同如见参]'))"
-    return f"if(size({table}.cells) > 1 and {refers}, {_bound(cells, 'new', out)}, {table})"
-
-
 def names_rows(header: str, words: tuple[str, ...]) -> str:
     """Whether a header says that its column names the rows."""
     plain = f"replace(replace(lower({header}), ' ', ''), '/', '')"
     return f"exists(array({', '.join(map(quoted, words))}), k -> contains({plain}, k))"
 
 
-def sentence(table: str, values: str, by_key: str) -> str:
+def sentence(context: str, headers: str, values: str, by_key: str) -> str:
     """What a row says: its values by header, in the context of its table, about its key where it has one."""
-    told = f"array_join(filter(transform({table}.headers, (h, i) -> if(get(v, i) = '' or {by_key} and i = 0, '', concat(h, '为', if(endswith(get(v, i), '。'), left(get(v, i), length(get(v, i)) - 1), get(v, i))))), z -> z <> ''), '，')"
+    told = f"array_join(filter(transform({headers}, (h, i) -> if(get(v, i) = '' or {by_key} and i = 0, '', concat(h, '为', if(endswith(get(v, i), '。'), left(get(v, i), length(get(v, i)) - 1), get(v, i))))), z -> z <> ''), '，')"
     key = f"if({by_key}, coalesce(get(v, 0), ''), '')"
-    context = f"{table}.context"
     cases = (
         f"case when key <> '' and told <> '' then concat(if({context} <> '', concat('在', {context}, '中，'), ''), '关于【', key, '】的记录显示：', told, '。')"
         f" when key <> '' then concat(if({context} <> '', concat('在', {context}, '中中，'), ''), '存在记录【', key, '】。')"
@@ -101,24 +54,15 @@ def _number(value: str) -> str:
     return _bound(_digits(_strip(value)), "w", f"if(w rlike {quoted(NUMBER)}, {real}, {unit})")
 
 
-def columns(table: str) -> str:
+def columns(headers: str) -> str:
     """Places of the headers, each name once, and the names as JSON: what the rows of a table share."""
-    once = f"filter(sequence(0, size({table}.headers) - 1), c -> array_position({table}.headers, get({table}.headers, c)) = c + 1)"
-    return f"transform({once}, c -> struct(c as place, concat({_told(f'get({table}.headers, c)')}, ': ') as name))"
+    once = f"filter(sequence(0, size({headers}) - 1), c -> array_position({headers}, get({headers}, c)) = c + 1)"
+    return f"transform({once}, c -> struct(c as place, concat({_told(f'get({headers}, c)')}, ': ') as name))"
 
 
-def metadata(table: str, columns: str, values: str, row: str) -> str:
+def metadata(context: str, index: str, columns: str, values: str, row: str) -> str:
     """Title and places, the values by header, and the numbers among them, as JSON."""
     value = f"get({values}, c.place)"
     raw = f"array_join(transform({columns}, c -> concat(c.name, {_told(value)})), ', ')"
     numbers = f"array_join(transform(filter({columns}, c -> {value} rlike '[0-9０-９]'), c -> concat(c.name, {_number(value)})), ', ')"
-    return f"concat('{{\"table_title\": ', {_told(f'{table}.context')}, ', \"table_index\": ', {table}.index, ', \"row_index\": ', {row}, ', \"raw_data\": {{', {raw}, '}}, \"numeric_fields\": {{', {numbers}, '}}}}')"
-
-
-def row_chunks(tables: str, references: bool, by_key: bool, key_words: tuple[str, ...]) -> str:
-    """array<struct<text, metadata>> of the rows of tables, table after table."""
-    whole = _bound(filled("p"), "q", resolved("q") if references else "q")
-    keyed = names_rows("get(t.headers, 0)", key_words) if by_key else "false"
-    chunk = f"struct({sentence('t', 'vs', 'keyed')} as text, {metadata('t', 'cs', 'vs', 'r')} as metadata)"
-    rows = _bound(keyed, "keyed", _bound(columns("t"), "cs", f"transform(t.named, (vs, r) -> {chunk})"))
-    return f"flatten(transform({tables}, p -> {_bound(whole, 't', rows)}))"
+    return f"concat('{{\"table_title\": ', {_told(context)}, ', \"table_index\": ', {index}, ', \"row_index\": ', {row}, ', \"raw_data\": {{', {raw}, '}}, \"numeric_fields\": {{', {numbers}, '}}}}')"
