@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import json
 import time
+import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import dataclass
+from itertools import chain, starmap
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +20,9 @@ from pyspark.sql import types as T
 
 from inkfall.functions.text import cosine
 
+#: Gives a vector for each of the texts of a call. Its `array`, where it has one, gives the same as one array of numpy.
+Provider = Callable[[list[str]], list[list[float]]]
+
 PASSAGE_PREFIX, QUERY_PREFIX = "passage: ", "query: "
 BATCH, RETRIES, IN_FLIGHT = 32, 3, 4
 
@@ -33,29 +41,64 @@ def passing(error: Exception) -> bool:
     return _kind_of(str(error)) not in ("auth", "not_found", "bad_request")
 
 
-def embed_texts(df: DataFrame, text_col: str, provider: Callable[[list[str]], list[list[float]]], prefix: str = PASSAGE_PREFIX, batch: int = BATCH, retries: int = RETRIES, wait: float = 1.0, in_flight: int = IN_FLIGHT) -> DataFrame:
-    """df with `vector`. The provider gets `batch` texts a call, whatever the sizes of Arrow's batches.
+class Calls:
+    """Calls of a provider, `in_flight` of them going at once. What they give comes in their order.
 
-    Each task keeps up to `in_flight` calls going at once and gives its rows in order, so it holds no
-    more than so many calls' rows. A call that fails is made again, with a wait that doubles, `retries`
-    times in all, unless its error says that this cannot help. The provider must bear calls from
-    several threads.
+    With 0 each is made in the caller's thread, as suits a provider that computes by itself: threads
+    would only wait for each other.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
 
-    def call(texts: list[str]) -> list[list[float]]:
-        for attempt in range(1, retries + 1):
+    def __init__(self, provider: Provider, retries: int, wait: float, in_flight: int) -> None:
+        self.provider, self.retries, self.wait, self.in_flight = provider, retries, wait, in_flight
+        self.pool, self.going = ThreadPoolExecutor(in_flight or 1), deque[tuple[Any, Future]]()
+
+    def __enter__(self) -> Calls:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.pool.shutdown(cancel_futures=True)
+
+    def _call(self, texts: list[str]) -> list[list[float]]:
+        for attempt in range(1, self.retries + 1):
             try:
-                vectors = provider(texts)
+                vectors = self.provider(texts)
                 break
             except Exception as error:
-                if attempt == retries or not passing(error):
+                if attempt == self.retries or not passing(error):
                     raise RuntimeError(f"Embedding 失败，已重试 {attempt} 次: {error}") from error
-                time.sleep(wait * 2 ** (attempt - 1))
+                time.sleep(self.wait * 2 ** (attempt - 1))
         if len(vectors) != len(texts):
             raise RuntimeError(f"the provider gave {len(vectors)} vectors for {len(texts)} texts")
         return vectors
 
+    def _done(self) -> tuple[Any, list[list[float]]]:
+        beside, vectors = self.going.popleft()
+        return beside, vectors.result()
+
+    def put(self, beside: Any, texts: list[str]) -> Iterator[tuple[Any, list[list[float]]]]:
+        """Starts a call, after giving what came with the first one going, and its vectors, where no more may go."""
+        if not self.in_flight:
+            yield beside, self._call(texts)
+            return
+        if len(self.going) == self.in_flight:
+            yield self._done()
+        self.going.append((beside, self.pool.submit(self._call, texts)))
+
+    def rest(self) -> Iterator[tuple[Any, list[list[float]]]]:
+        while self.going:
+            yield self._done()
+
+
+def embed_texts(df: DataFrame, text_col: str, provider: Provider, prefix: str = PASSAGE_PREFIX, batch: int = BATCH, retries: int = RETRIES, wait: float = 1.0, in_flight: int = IN_FLIGHT) -> DataFrame:
+    """df with `vector`. The provider gets `batch` texts a call, whatever the sizes of Arrow's batches.
+
+    Each task keeps up to `in_flight` calls going at once and gives its rows in order, so it holds no
+    more than so many calls' rows. A call that fails is made again, with a wait that doubles, `retries`
+    times in all, unless its error says that this cannot help. The provider must bear calls from
+    several threads.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
+
     def full_calls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The rows in frames of one call each; only the last may be smaller."""
         rest: list[pd.DataFrame] = []
@@ -72,41 +115,54 @@ def embed_texts(df: DataFrame, text_col: str, provider: Callable[[list[str]], li
             yield pd.concat(rest, ignore_index=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        going: deque[tuple[pd.DataFrame, Future]] = deque()
-
-        def done() -> pd.DataFrame:
-            rows, vectors = going.popleft()
-            return rows.assign(vector=pd.Series(vectors.result(), index=rows.index, dtype=object))
-
-        pool = ThreadPoolExecutor(in_flight)
-        try:
+        told = lambda rows, vectors: rows.assign(vector=pd.Series(vectors, index=rows.index, dtype=object))
+        with Calls(provider, retries, wait, in_flight) as calls:
             for rows in full_calls(frames):
-                if len(going) == in_flight:
-                    yield done()
-                going.append((rows, pool.submit(call, [prefix + (t or "") for t in rows[text_col]])))
-            while going:
-                yield done()
-        finally:
-            pool.shutdown(cancel_futures=True)
+                yield from starmap(told, calls.put(rows, [prefix + (t or "") for t in rows[text_col]]))
+            yield from starmap(told, calls.rest())
 
     return df.mapInPandas(run, schema)
 
 
-def hashed_vectors(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
+@dataclass(frozen=True)
+class Embedding:
+    """embed_texts with a provider, as an embedder. Operators that have texts in Python already call
+    the provider there, in the same way, and need no table of vectors.
+    """
+
+    provider: Provider
+    prefix: str = PASSAGE_PREFIX
+    batch: int = BATCH
+    retries: int = RETRIES
+    wait: float = 1.0
+    in_flight: int = IN_FLIGHT
+
+    def __call__(self, df: DataFrame, text_col: str) -> DataFrame:
+        return embed_texts(df, text_col, self.provider, self.prefix, self.batch, self.retries, self.wait, self.in_flight)
+
+    def calls(self) -> Calls:
+        return Calls(getattr(self.provider, "array", self.provider), self.retries, self.wait, self.in_flight)
+
+
+class _HashedVectors:
+    def __init__(self, dim: int) -> None:
+        self.dim = dim
+
+    def array(self, texts: list[str]) -> np.ndarray:
+        words = [text.lower().split() for text in texts]
+        h = np.fromiter(map(zlib.crc32, map(str.encode, chain.from_iterable(words))), np.int64)
+        # A row of a text holds what adds, and after it what takes off.
+        at = np.repeat(np.arange(len(texts)) * (2 * self.dim), [len(w) for w in words]) + h % self.dim + np.where(h >> 16 & 1, 0, self.dim)
+        counts = np.bincount(at, minlength=len(texts) * 2 * self.dim).reshape(len(texts), 2, self.dim)
+        return (counts[:, 0] - counts[:, 1]).astype(float)
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return self.array(texts).tolist()
+
+
+def hashed_vectors(dim: int = 64) -> Provider:
     """A provider that needs no model: signed counts of hashed words. For tests and offline use."""
-    import zlib
-
-    def provider(texts: list[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            vector = [0.0] * dim
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                vector[h % dim] += 1.0 if h >> 16 & 1 else -1.0
-            out.append(vector)
-        return out
-
-    return provider
+    return _HashedVectors(dim)
 
 
 def health_check(provider: Callable[[list[str]], list[list[float]]]) -> tuple[bool, str]:

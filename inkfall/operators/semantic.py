@@ -1,7 +1,8 @@
 """Semantic and dialogue chunks: ordered rows of a document, cut where neighbours differ.
 
 Sentences and exchanges become rows; windows over one document find their neighbours and running
-counts of breaks name the chunks, so no document is held in one Python call.
+counts of breaks name the chunks, so no document is held in one Python call. Where the provider of the
+vectors is known, semantic chunks are cut in one pass over the documents instead (semantic_cuts.py).
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from inkfall.functions.text import LINES, SPACE, SPACES, cosine, strip
+from inkfall.operators import semantic_cuts
+from inkfall.operators.retrieval import Embedding
 
 #: Given a DataFrame and the name of a text column, adds an array<float> column "vector".
 Embedder = Callable[[DataFrame, str], DataFrame]
@@ -85,7 +88,9 @@ def semantic(df: DataFrame, params: dict | None = None, embed: Embedder | None =
     """Chunks between sentences whose contexts differ more than the document's threshold.
 
     A text of three sentences or fewer is one chunk. Chunks are slices of the text, so white space
-    between sentences begins the next one.
+    between sentences begins the next one. With an Embedding nothing is shuffled, each row is a document,
+    and a document's text is held by one task; any other embedder makes rows of sentences, and an id
+    must then name one document.
     """
     p = {"breakpoint_threshold": 95.0, "breakpoint_type": "percentile", "buffer_size": 1} | (params or {})
     if embed is None:
@@ -93,6 +98,10 @@ def semantic(df: DataFrame, params: dict | None = None, embed: Embedder | None =
     amount, method = float(p["breakpoint_threshold"]), p["breakpoint_type"]
     threshold(method, amount, Window.partitionBy(id_col))
     docs = df.select(F.col(id_col), F.col(text_col).alias("_whole"))
+    meta = F.to_json(F.struct(F.lit(amount).alias("breakpoint_threshold"), F.lit(method).alias("breakpoint_type")))
+    if isinstance(embed, Embedding):
+        out = semantic_cuts.cut(docs, embed, method, amount, int(p["buffer_size"]))
+        return out.select(id_col, "chunk_index", "text", meta.alias("metadata"), "char_start", "char_end")
     sents = windows(sentences(docs, id_col, "_whole"), int(p["buffer_size"]), id_col)
     count = F.count("*").over(Window.partitionBy(id_col))
     many = sents.withColumn("_n", count).where("_n > 3")
@@ -102,7 +111,6 @@ def semantic(df: DataFrame, params: dict | None = None, embed: Embedder | None =
     joined = docs.join(ends, F.col(id_col).eqNullSafe(F.col("_id")), "left")
     bounds = F.array_distinct(F.concat(F.array(F.lit(0)), F.coalesce("_ends", F.array().cast("array<int>")), F.array(F.length("_whole"))))
     spans = F.transform(F.slice(bounds, 1, F.greatest(F.size(bounds) - 1, F.lit(1))), lambda b, i: F.struct(b.alias("a"), F.coalesce(F.get(bounds, i + 1), b).alias("b")))
-    meta = F.to_json(F.struct(F.lit(amount).alias("breakpoint_threshold"), F.lit(method).alias("breakpoint_type")))
     out = joined.select(id_col, "_whole", F.posexplode(spans).alias("chunk_index", "s"))
     return out.select(id_col, "chunk_index", F.substring(F.col("_whole"), F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("text"), meta.alias("metadata"), F.col("s.a").alias("char_start"), F.col("s.b").alias("char_end"))
 

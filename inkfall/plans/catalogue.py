@@ -382,7 +382,7 @@ def q27_dialogue_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def q28_semantic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semantic chunks with hashed words as vectors."""
-    embed = lambda df, column: retrieval.embed_texts(df, column, retrieval.hashed_vectors())
+    embed = retrieval.Embedding(retrieval.hashed_vectors(), in_flight=0)
     return registry.chunk(_t(spark, sf_dir, "documents").select("doc_id", "text"), "semantic", {"breakpoint_threshold": 80.0}, embed=embed)
 
 
